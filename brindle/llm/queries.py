@@ -46,8 +46,8 @@ with d as (
 ), ranked as (
   select *, row_number() over (order by 2.0 * source_size / weight, place) as r from w
 ), level as (
-  select min(lev) as lev from (
-    select 1.0::double * (1.5::double * total - coalesce(sum(2 * source_size) over before, 0)) / sum(weight) over after as lev,
+  select coalesce(arg_min(lev, r), 1e300) as lev from (
+    select r, 1.0::double * (1.5::double * total - coalesce(sum(2 * source_size) over before, 0)) / sum(weight) over after as lev,
       2.0 * source_size / weight as edge from ranked
     window before as (order by r rows between unbounded preceding and 1 preceding), after as (order by r rows between current row and unbounded following)
   ) where lev <= edge
