@@ -13,7 +13,7 @@ from .words import PUNCTUATION, SPACES, Hasher, mix, slices, texts
 
 #: Bounds: labelled rows of the fit; hash buckets (a bit count), which bound the weights.
 FIT_ROWS, BITS = 16_000, 20
-ALPHA, BETA, L1, L2, PASSES, RAREST = 0.1, 1.0, 3.0, 1.0, 3, 3
+ALPHA, BETA, L1, L2, PASSES, RAREST = 0.1, 1.0, 12.0, 1.0, 3, 3
 FOLDS = 5
 
 _HASH = Hasher(SPACES + PUNCTUATION)
