@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from .mixing import op3_mix
+from .quality import op10_quality
 from .sharding import op7_shards
 from .token_files import op6_token_files
+from .toxicity import op9_toxicity
 from .url_rules import op8_url_rules
 from .warc import op1_warc
 
@@ -14,6 +16,8 @@ QUERIES = {
     "op6_token_files": op6_token_files,
     "op7_shards": op7_shards,
     "op8_url_rules": op8_url_rules,
+    "op9_toxicity": op9_toxicity,
+    "op10_quality": op10_quality,
 }
 
 _URL_PARTS = r"""
