@@ -126,10 +126,13 @@ def plan_mix(
     )
 
 
-def order_mix(plan: DataFrame) -> DataFrame:
-    """Range-sort by training position: partition k precedes partition k + 1, and within one rows ascend."""
-    n = partitions(plan.sparkSession)
-    return plan.repartitionByRange(n, F.col("position").asc_nulls_last()).sortWithinPartitions(F.col("position").asc_nulls_last())
+def order_mix(plan: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """Range-sort by training position: partition k precedes partition k + 1, and within one rows ascend.
+
+    Documents without a position come last; a hash of the id deals them and ties out over partitions.
+    """
+    order = [F.col("position").asc_nulls_last(), F.xxhash64(id_col)]
+    return plan.repartitionByRange(partitions(plan.sparkSession), *order).sortWithinPartitions(*order)
 
 
 def op3_mix(spark, sf_dir: str) -> DataFrame:
