@@ -89,8 +89,8 @@ def plan_mix(
 
     Null text: size 0, taken 0. A null source is a source of its own; a null id sorts
     first; equal ids are separate rows in the order of their texts' md5. An empty table gives
-    an empty result. Returns id, size, source_size, target, taken, copies and position
-    (of the first copy, 0 to 1; null if none), ``keep`` columns last.
+    an empty result. Returns id, size, source_size, target, taken, copies, position
+    (of the first copy, 0 to 1; null if none), positions (of all copies), then the columns of ``keep`` as kept_<name>.
     """
     size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
     rows = docs.select(
@@ -112,8 +112,8 @@ def plan_mix(
     begin = F.col("before_size") - F.col("source_begin")
     middle = [begin + F.col("source_size") * k + F.col("size") / 2 for k in range(cap)]
     copies = sum((F.when((F.col("size") > 0) & (m < F.col("target")), 1).otherwise(0) for m in middle), F.lit(0))
-    fraction = F.when(F.col("target") > 0, middle[0] / F.col("target"))
-    time = F.coalesce(*(F.when(F.col("place") % len(schedules) == k, _inverse(fraction, knots)) for k, knots in enumerate(schedules)))
+    at = lambda m: F.when(F.col("target") > 0, m / F.col("target"))
+    times = F.array(*(F.coalesce(*(F.when(F.col("place") % len(schedules) == k, _inverse(at(m), knots)) for k, knots in enumerate(schedules))) for m in middle))
     return joined.select(
         F.col("row_id").alias(id_col),
         "size",
@@ -121,8 +121,9 @@ def plan_mix(
         "target",
         (F.col("size") * copies).cast("long").alias("taken"),
         copies.cast("int").alias("copies"),
-        F.when(copies > 0, time).alias("position"),
-        *(F.col(f"kept_{c}").alias(c) for c in keep),
+        F.when(copies > 0, times[0]).alias("position"),
+        F.slice(times, F.lit(1), copies.cast("int")).alias("positions"),
+        *(F.col(f"kept_{c}") for c in keep),
     )
 
 
@@ -137,4 +138,4 @@ def order_mix(plan: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 def op3_mix(spark, sf_dir: str) -> DataFrame:
     plan = order_mix(plan_mix(spark.read.parquet(f"{sf_dir}/documents.parquet")))
-    return plan.withColumn("target", F.round("target", 6)).withColumn("position", F.round("position", 9))
+    return plan.withColumn("target", F.round("target", 6)).withColumn("position", F.round("position", 9)).drop("positions")

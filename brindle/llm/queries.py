@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from .decontam import op2_decontamination
 from .mixing import op3_mix
+from .near_dedup import op4_near_dedup
 from .quality import op10_quality
 from .sharding import op7_shards
 from .token_files import op6_token_files
@@ -12,7 +14,9 @@ from .warc import op1_warc
 
 QUERIES = {
     "op1_warc": op1_warc,
+    "op2_decontamination": op2_decontamination,
     "op3_mix": op3_mix,
+    "op4_near_dedup": op4_near_dedup,
     "op6_token_files": op6_token_files,
     "op7_shards": op7_shards,
     "op8_url_rules": op8_url_rules,
@@ -70,4 +74,24 @@ select doc_id, size, source_size, round(target, 6) as target, (size * copies)::b
     when 1 then m / target
     else 2 * (m / target) / (0.5::double + sqrt(greatest(0.25::double + 2 * (m / target), 0))) end, 9) end as position
 from y""",
+    # by content, so that the SQL needs no candidate search: all pairs that share a shingle
+    "op4_near_dedup": r"""
+with recursive w as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as ws from documents
+), s as (
+  select doc_id, case when len(ws) = 0 then [] when len(ws) < 4 then [array_to_string(ws, ' ')]
+    else list_distinct([array_to_string(ws[i : i + 3], ' ') for i in range(1, len(ws) - 2)]) end as shingles from w
+), n as (
+  select doc_id, len(shingles)::bigint as n_shingles from s
+), x as (
+  select doc_id, unnest(shingles) as sh from s
+), link as (
+  select a.doc_id as a, b.doc_id as b from x a join x b on a.sh = b.sh and a.doc_id <> b.doc_id
+  group by a.doc_id, b.doc_id
+  having 100 * count(*) >= 80 * ((select n_shingles from n where doc_id = a.doc_id) + (select n_shingles from n where doc_id = b.doc_id) - count(*))
+), reach(a, b) as (
+  select doc_id, doc_id from documents union select r.a, l.b from reach r join link l on l.a = r.b
+)
+select n.doc_id, n.n_shingles, min(r.b) as component_id, n.doc_id = min(r.b) as kept
+from n join reach r on r.a = n.doc_id group by n.doc_id, n.n_shingles""",
 }

@@ -131,6 +131,11 @@ def _scorer(shared):
     return run
 
 
+def _broadcast(spark, weights: dict[int, float]):
+    used = sorted(k for k in weights if k >= 0)
+    return spark.sparkContext.broadcast((np.array(used, np.int64), np.array([weights[k] for k in used]), weights.get(-1, -35.0)))
+
+
 def score_toxicity(docs: DataFrame, weights: dict[int, float], id_col: str = "doc_id", text_col: str = "text", folds: int = FOLDS) -> DataFrame:
     """Score every whole text with the sparse weights (at most 2 ** BITS, most are zero).
 
@@ -138,9 +143,7 @@ def score_toxicity(docs: DataFrame, weights: dict[int, float], id_col: str = "do
     any other; a null id counts as the text '' for the fold. Scores depend on the text
     alone. Returns id, held_out, score, predicted.
     """
-    spark = docs.sparkSession
-    used = sorted(k for k in weights if k >= 0)
-    shared = spark.sparkContext.broadcast((np.array(used, np.int64), np.array([weights[k] for k in used]), weights.get(-1, -35.0)))
+    shared = _broadcast(docs.sparkSession, weights)
     ddl = docs.select(F.col(id_col)).schema.fields[0].dataType.simpleString()
     scored = docs.select(F.col(id_col).alias("row_id"), F.col(text_col).cast("binary").alias("text")).mapInArrow(_scorer(shared), f"row_id {ddl}, score double")
     fold = F.crc32(F.coalesce(F.col("row_id").cast("string"), F.lit("")).cast("binary")) % folds
@@ -151,5 +154,23 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     return score_toxicity(docs, fit_toxicity(docs, labels, id_col, text_col, label_col), id_col, text_col)
 
 
+def _dropper(shared, text_at: int):
+    scores = _scorer(shared)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            two = pa.RecordBatch.from_arrays([pa.nulls(batch.num_rows), batch.column(text_at)], names=["row_id", "text"])
+            score = np.concatenate([np.zeros(0), *(b.column(1).to_numpy() for b in scores(iter([two])))])
+            yield batch.filter(pa.array(score < 0.5))
+
+    return run
+
+
+def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
+    """The documents, all their columns, without those predicted toxic."""
+    shared = _broadcast(docs.sparkSession, fit_toxicity(docs, labels, id_col, text_col, label_col))
+    return docs.mapInArrow(_dropper(shared, docs.columns.index(text_col)), docs.schema)
+
+
 def op9_toxicity(spark, sf_dir: str) -> DataFrame:
     return toxicity(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
