@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -18,7 +20,21 @@ from .runtime import filesystem, new_folder, partitions, stored
 
 MAGIC, TAIL = b"BRNDTOK1", struct.Struct("<QQI8s")
 BLOCK = 1 << 16
-WORDS_KEPT = 400_000
+WORDS_KEPT = 300_000
+#: ASCII and Latin-1 letters, then ASCII punctuation; such letters are in normal form.
+_PLAIN_RUN = re.compile(rb"((?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([!-/:-@\[-`{-~]+)?")
+#: The definition for which plain runs are understood.
+_PLAIN_PARTS = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+    "post_processor": None,
+}
 END_ID = 1
 _TOKENIZERS: dict[int, Encoder] = {}
 
@@ -27,32 +43,72 @@ class Encoder:
     """Ids of whole texts, through a bounded memory of the ids of white-space-free runs.
 
     Neither the normaliser nor the pre-tokeniser of such a tokenizer looks across ASCII
-    white space, so the ids of a text are those of its runs in order; the library encodes
-    each run that is not in memory, many at a time.
+    white space, so the ids of a text are those of its runs in order. A run of plain
+    letters with punctuation behind it, where the definition's normaliser and
+    pre-tokeniser are the known ones, goes straight to the library's model; every other
+    run is encoded whole, many at a time.
     """
 
     def __init__(self, definition: str) -> None:
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer = Tokenizer.from_str(definition)
+        # words and letter runs of late, and of before; what is used again moves to the front
         self.known: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+        self.bases: dict[bytes, bytes] = {}
+        parts = json.loads(definition)
+        self.plain = _PLAIN_PARTS == {k: parts.get(k) for k in _PLAIN_PARTS}
+        self.one = [struct.pack("<I", i) for i in range(self.tokenizer.get_vocab_size())]
+        level = ByteLevel(add_prefix_space=False, use_regex=False)
+        self.level = {ord(c): level.pre_tokenize_str(c)[0][0] for c in map(chr, range(0xC0, 0x100))}
+
+    def _whole(self, part: list[bytes]) -> None:
+        got = self.tokenizer.encode([w.decode() for w in part], is_pretokenized=True, add_special_tokens=False)
+        ids, owner = np.array(got.ids, "<u4"), np.array(got.word_ids, np.int64)
+        cuts = np.searchsorted(owner, np.arange(len(part) + 1)) * 4
+        raw = ids.tobytes()
+        self.known.update((w, raw[a:b]) for w, a, b in zip(part, cuts[:-1].tolist(), cuts[1:].tolist(), strict=True))
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
         split = [t.split() for t in texts]  # bytes: exactly blank, \t, \n, \v, \f, \r
         known = self.known
-        if len(known) > WORDS_KEPT:
-            known.clear()
-        new = list({w for words in split for w in words if w not in known})
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            got = self.tokenizer.encode([w.decode() for w in part], is_pretokenized=True, add_special_tokens=False)
-            ids, owner = np.array(got.ids, "<u4"), np.array(got.word_ids, np.int64)
-            cuts = np.searchsorted(owner, np.arange(len(part) + 1)) * 4
-            raw = ids.tobytes()
-            known.update((w, raw[a:b]) for w, a, b in zip(part, cuts[:-1].tolist(), cuts[1:].tolist(), strict=True))
+        if len(known) > WORDS_KEPT // 2:
+            self.old, self.known, self.bases = known, {}, {}
+            known = self.known
+        new = set().union(*split)
+        new.difference_update(known)
+        rest, bases = [], self.bases
+        match, tokenize, level, one = _PLAIN_RUN.fullmatch, self.tokenizer.model.tokenize, self.level, self.one
+        before = self.old.get
+        for w in new:
+            ids = before(w)
+            if ids is not None:
+                known[w] = ids
+                continue
+            plain = match(w) if self.plain else None
+            if plain is None:
+                rest.append(w)
+                continue
+            letters, marks = plain.groups()
+            letters = letters.lower()
+            ids = bases.get(letters)
+            if ids is None:
+                word = letters.decode() if letters.isascii() else letters.decode().lower().translate(level)
+                ids = bases[letters] = b"".join([one[t.id] for t in tokenize(word)])
+            known[w] = ids + self._marks(marks) if marks else ids
+        for at in range(0, len(rest), 10_000):
+            self._whole(rest[at : at + 10_000])
         return [b"".join([known[w] for w in words]) for words in split]
 
+    def _marks(self, marks: bytes) -> bytes:
+        found = self.bases.get(marks)
+        if found is None:
+            found = self.bases[marks] = b"".join([self.one[i] for i in self.tokenizer.encode(marks.decode(), add_special_tokens=False).ids])
+        return found
+
 
 def encoder(definition: str) -> Encoder:
     """The worker's encoder; kept while the worker lives."""
