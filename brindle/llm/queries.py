@@ -7,6 +7,7 @@ from .mixing import op3_mix
 from .near_dedup import op4_near_dedup
 from .quality import op10_quality
 from .sharding import op7_shards
+from .substring_dedup import op5_substring_dedup
 from .token_files import op6_token_files
 from .toxicity import op9_toxicity
 from .url_rules import op8_url_rules
@@ -17,6 +18,7 @@ QUERIES = {
     "op2_decontamination": op2_decontamination,
     "op3_mix": op3_mix,
     "op4_near_dedup": op4_near_dedup,
+    "op5_substring_dedup": op5_substring_dedup,
     "op6_token_files": op6_token_files,
     "op7_shards": op7_shards,
     "op8_url_rules": op8_url_rules,
