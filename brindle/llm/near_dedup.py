@@ -17,8 +17,8 @@ from .words import Hasher, mix, slices, texts, windows
 
 #: Coordinates of a signature; coordinates that a pair must share to be confirmed on its
 #: full sets (a pair at the least similarity has fewer about once in 20,000); coordinates
-#: shared with a head that put a class into its group.
-COORDINATES, MATCHES, GROUPED = 32, 16, 6
+#: shared with the head of a posting list that put a class into the head's group.
+COORDINATES, MATCHES, GROUPED = 32, 16, 8
 PERCENT = 80
 #: Bytes of shingle sets in a block of the comparison within groups.
 BLOCK_BYTES = 4 << 20
@@ -205,27 +205,30 @@ def _links(docs: DataFrame, signed: DataFrame, width: int, text_col: str) -> Dat
     keys = classes.select("cls", "keys")
     near = met.join(keys, "cls").join(keys.select(F.col("cls").alias("head"), F.col("keys").alias("head_keys")), "head")
     near = near.filter(_shared_keys("keys", "head_keys") >= GROUPED).select("head", "cls")
-    groups = stored(near.groupBy("cls").agg(F.min("head").alias("head")), "groups")
+    # classes that are near a common head, directly or by way of others, form a group
+    groups = stored(components(near.select(F.col("head").alias("a"), F.col("cls").alias("b"))).select(F.col("vertex").alias("cls"), F.col("root").alias("grp")), "groups")
     # pairs of one posting list whose classes fell into different groups
-    lists = prefix.join(heads, "key").withColumnRenamed("head", "list_head").join(groups, "cls", "left").withColumn("grp", F.coalesce("head", "cls")).drop("head")
-    head_groups = groups.select(F.col("cls").alias("list_head"), F.col("head").alias("of"))
-    lists = stored(lists.join(head_groups, "list_head", "left").withColumn("minor", F.col("grp") != F.coalesce("of", "list_head")).select("key", "cls", "grp", "minor"), "lists")
-    minor = lists.filter("minor").select("key", F.col("cls").alias("a"), F.col("grp").alias("a_grp"))
-    cross = minor.join(lists.withColumnRenamed("cls", "b"), "key").filter((F.col("a_grp") != F.col("grp")) & (~F.col("minor") | (F.col("a") < F.col("b")))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    cross = cross.join(keys.select(F.col("cls").alias("a"), F.col("keys").alias("a_keys")), "a").join(keys.select(F.col("cls").alias("b"), F.col("keys").alias("b_keys")), "b")
-    cross = stored(cross.filter(_shared_keys("a_keys", "b_keys") >= MATCHES).select("a", "b"), "cross")
+    lists = prefix.join(heads, "key").join(groups, "cls", "left").withColumn("grp", F.coalesce("grp", "cls"))
+    of_head = groups.select(F.col("cls").alias("head"), F.col("grp").alias("of"))
+    lists = stored(lists.join(of_head, "head", "left").withColumn("minor", F.col("grp") != F.coalesce("of", "head")).select("key", "cls", "grp", "minor"), "lists")
+    mixed = cut(lists.filter("minor").select("key").distinct())
+    lists = stored(lists.join(mixed, "key").join(keys, "cls"), "mixed-lists")
+    minor = lists.filter("minor").select("key", F.col("cls").alias("a"), F.col("grp").alias("a_grp"), F.col("keys").alias("a_keys"))
+    apart = (F.col("a_grp") != F.col("grp")) & (~F.col("minor") | (F.col("a") < F.col("b"))) & (_shared_keys("a_keys", "keys") >= MATCHES)
+    cross = minor.join(lists.withColumnRenamed("cls", "b"), "key").filter(apart)
+    cross = stored(cross.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "cross")
     # the full sets of all classes that take part
-    part = groups.select("cls").union(groups.select("head")).union(cross.select("a")).union(cross.select("b")).distinct()
+    part = groups.select("cls").union(cross.select("a")).union(cross.select("b")).distinct()
     wanted = stored(part.join(classes.select("cls", "text_key", "n"), "cls"), "wanted")
     shared_bits = spark.sparkContext.broadcast(_bitmap(wanted, "text_key"))
     rows = docs.select(_text_key(text_col).alias("text_key"), F.col(text_col).cast("binary").alias("text"))
     sets = rows.mapInArrow(_sets_of(width, shared_bits), "cls binary, set binary").groupBy("cls").agg(F.first("set").alias("set"))
     sets = stored(sets.join(wanted.select("cls"), "cls"), "sets")
-    # within a group: every class against its head
+    # within a group: every class against its head, the least of them
     a_set = sets.select(F.col("cls").alias("a"), F.col("set").alias("a_set"))
     b_set = sets.select(F.col("cls").alias("b"), F.col("set").alias("b_set"))
     confirmed = lambda pairs: pairs.join(a_set, "a").join(b_set, "b").select("a", "b", "a_set", "b_set").mapInArrow(_confirm, "a binary, b binary, ok boolean")
-    star = groups.select(F.col("head").alias("a"), F.col("cls").alias("b"))
+    star = groups.filter("cls <> grp").select(F.col("grp").alias("a"), F.col("cls").alias("b"))
     star = stored(confirmed(star), "star")
     # then those not tied to it against all of the group, in blocks of bounded bytes
     member = star.select(F.col("a").alias("head"), F.col("b").alias("cls"), F.col("ok").alias("tied")).join(wanted.select("cls", "n"), "cls")
