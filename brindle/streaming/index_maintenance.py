@@ -36,6 +36,7 @@ def open_postings(spark, folder: str, key: str, tokens: Callable[[Column], Colum
 
 def windowed_events(events: DataFrame, length: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """Counts and sums by tumbling window and event type; rows later than the watermark are passed over."""
+    events = events.withColumn("ts", F.col("ts").cast("timestamp"))  # a watermark needs a time zone
     kept = events.withWatermark("ts", late) if events.isStreaming else events
     out = kept.groupBy(F.window("ts", length).alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
     return out.select(F.col("w.start").alias("window_start"), "event_type", "n", "total")
