@@ -189,7 +189,8 @@ def passages(a: np.ndarray, b: np.ndarray, shifts: list[int]) -> list[tuple[int,
     """(start in b, end in b, start in a): runs of words alike along the given shifts (place in a less place in b).
 
     A run has at least ``PASSAGE`` words, begins and ends with a common shingle, and at
-    most one shingle in ``MISS`` + 1 is not common.
+    most one shingle in ``MISS`` + 1 is not common. Stretches are joined over a gap that is
+    worth less than either, or where neither is long enough alone.
     """
     out = []
     for shift in sorted(set(shifts)):
@@ -205,7 +206,8 @@ def passages(a: np.ndarray, b: np.ndarray, shifts: list[int]) -> list[tuple[int,
             best.append([s, e, e - s])
             while len(best) > 1:
                 gap = MISS * (best[-1][0] - best[-2][1])
-                if min(best[-1][2], best[-2][2]) < gap or best[-1][2] + best[-2][2] - gap < 0:
+                worth = min(best[-1][2], best[-2][2]) >= gap or max(best[-1][1] - best[-1][0], best[-2][1] - best[-2][0]) < SPAN
+                if not worth or best[-1][2] + best[-2][2] < gap:
                     break
                 last = best.pop()
                 best[-1] = [best[-1][0], last[1], best[-1][2] + last[2] - gap]
