@@ -32,3 +32,24 @@ def dense(vectors: DataFrame, key: str, size: int) -> DataFrame:
     """(key, vector): the sparse weights as arrays of ``size`` numbers."""
     by_word = vectors.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("word", "weight"))).alias("m"))  # at most ``size`` entries
     return by_word.select(key, F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.coalesce(F.col("m")[i], F.lit(0.0))).alias("vector"))
+
+
+def train_codebook(descriptors: DataFrame, vector: str, words: int, sample: int = 10_000, seed: int = 0) -> list[list[float]]:
+    """Codebook of a bounded sample of descriptors, the first by hash."""
+    import numpy as np
+
+    from brindle.operators.vector import kmeans
+
+    rows = descriptors.select(vector).orderBy(F.xxhash64(F.col(vector), F.lit(seed))).limit(sample).collect()
+    return kmeans(np.array([list(r[0]) for r in rows], float), words, seed=seed).tolist()
+
+
+def save_codebook(spark, codebook: Sequence[Sequence[float]], idf: DataFrame, path: str) -> None:
+    """(word, centroid, idf) as Parquet; words without an IDF have null."""
+    words = spark.createDataFrame([(i, list(map(float, c))) for i, c in enumerate(codebook)], "word int, centroid array<double>")
+    words.join(idf, "word", "left").coalesce(1).write.mode("overwrite").parquet(path)
+
+
+def load_codebook(spark, path: str) -> tuple[list[list[float]], DataFrame]:
+    rows = spark.read.parquet(path)
+    return [list(r.centroid) for r in rows.orderBy("word").select("centroid").collect()], rows.filter("idf is not null").select("word", "idf")

@@ -74,3 +74,10 @@ def within_join(left: DataFrame, right: DataFrame, radius: float, left_key: str,
     b = right.select(F.col(right_key).alias("right_key"), F.col("x").alias("bx"), F.col("y").alias("by"), cx.alias("cx"), cy.alias("cy"))
     d: Column = F.hypot(F.col("ax") - F.col("bx"), F.col("ay") - F.col("by"))
     return a.join(b, ["cx", "cy"]).withColumn("distance", d).filter(F.col("distance") <= radius).select("left_key", "right_key", "distance")
+
+
+def random_points(spark, count: int, box: tuple[float, float, float, float] = (-77.2, -12.2, -76.9, -11.9), seed: int = 0) -> DataFrame:
+    """(id, x, y) uniform in a box; the same for the same seed however it is split."""
+    part = lambda k: F.pmod(F.xxhash64(F.col("id"), F.lit(k), F.lit(seed)), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    x1, y1, x2, y2 = box
+    return spark.range(count).select("id", (part(0) * (x2 - x1) + x1).alias("x"), (part(1) * (y2 - y1) + y1).alias("y"))
