@@ -20,8 +20,8 @@ from .words import Hasher, mix, slices, texts, windows
 #: shared with the head of a posting list that put a class into the head's group.
 COORDINATES, MATCHES, GROUPED = 32, 16, 8
 PERCENT = 80
-#: Bytes of shingle sets in a block of the comparison within groups.
-BLOCK_BYTES = 4 << 20
+#: Weight of a block of the comparison within groups: bytes of its sets, and some for each set.
+BLOCK_WEIGHT, SET_WEIGHT = 4 << 20, 3000
 BITMAP_BITS = (20, 28)
 
 _HASH = Hasher()
@@ -146,7 +146,7 @@ def block_links(ring: list[np.ndarray], members: list[np.ndarray]) -> list[np.nd
     column = (np.cumsum(common) - 1)[number[keep]]
     row, r = owner[keep], len(ring)
     both = np.zeros((r, len(members)), np.float32)
-    width = 4096
+    width = 1024
     cuts = np.searchsorted(column, np.arange(0, int(common.sum()) + width, width))
     for k in range(len(cuts) - 1):
         part = slice(cuts[k], cuts[k + 1])
@@ -232,7 +232,7 @@ def _links(docs: DataFrame, signed: DataFrame, width: int, text_col: str) -> Dat
     star = stored(confirmed(star), "star")
     # then those not tied to it against all of the group, in blocks of bounded bytes
     member = star.select(F.col("a").alias("head"), F.col("b").alias("cls"), F.col("ok").alias("tied")).join(wanted.select("cls", "n"), "cls")
-    blocks = lambda n: F.ceil(F.sum(n) * 8 / BLOCK_BYTES).cast("int")
+    blocks = lambda n: F.ceil(F.sum(F.when(n > 0, n * 8 + SET_WEIGHT).otherwise(0)) / BLOCK_WEIGHT).cast("int")
     sizes = member.groupBy("head").agg(F.count(F.lit(1)).alias("all"), blocks(F.col("n")).alias("nb"), blocks(F.when(~F.col("tied"), F.col("n")).otherwise(0)).alias("nr")).filter("`all` > 1 and nr > 0")
     member = stored(member.join(sizes, "head").drop("all", "n"), "members")
     slot = lambda n: F.pmod(F.xxhash64("cls"), n).cast("int")

@@ -7,7 +7,6 @@ folder made.
 
 from __future__ import annotations
 
-import contextlib
 import tempfile
 import uuid
 from collections.abc import Iterator, Sequence
@@ -46,23 +45,19 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-@contextlib.contextmanager
-def small_batches(spark: SparkSession, most: str = "8m") -> Iterator[None]:
-    """Within, Arrow batches of texts stay small, for the workers' memory."""
-    key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    before = spark.conf.get(key)
-    spark.conf.set(key, most)
-    try:
-        yield
-    finally:
-        spark.conf.set(key, before)
+def bound_batches(spark: SparkSession, most: str = "4m") -> None:
+    """Keep Arrow batches of this session at some MB: the default of 64 MB for each task is much for workers with texts.
+
+    It stays set, since a DataFrame that is returned runs later.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", most)
 
 
 def stored(df: DataFrame, kind: str) -> DataFrame:
     """Write as Parquet in the shared folder and read it back (column pruning, compression)."""
     path = new_folder(df.sparkSession, kind)
-    with small_batches(df.sparkSession):
-        df.write.parquet(path)
+    bound_batches(df.sparkSession)
+    df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

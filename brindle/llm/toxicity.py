@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .runtime import bound_batches
 from .words import PUNCTUATION, SPACES, Hasher, mix, slices, texts
 
 #: Bounds: labelled rows of the fit; hash buckets (a bit count), which bound the weights.
@@ -102,6 +103,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     At most ``FIT_ROWS`` labelled rows, the first by hash of their id, take part, with
     their whole texts; one task steps through them.
     """
+    bound_batches(docs.sparkSession)
     fold = F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % folds
     marked = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & (fold != 0)).select(F.col(id_col).alias("row_id"), F.col(label_col).cast("int").alias("label"))
     turn = F.xxhash64(F.col("row_id"))
@@ -132,6 +134,7 @@ def _scorer(shared):
 
 
 def _broadcast(spark, weights: dict[int, float]):
+    bound_batches(spark)
     used = sorted(k for k in weights if k >= 0)
     return spark.sparkContext.broadcast((np.array(used, np.int64), np.array([weights[k] for k in used]), weights.get(-1, -35.0)))
 

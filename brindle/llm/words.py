@@ -15,7 +15,8 @@ import pyarrow as pa
 
 SPACES = bytes([0x20, *range(0x09, 0x0E)])
 PUNCTUATION = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
-PIECE = 1 << 20
+#: Bytes worked on at a time; temporaries are some tens of times as large.
+PIECE = 1 << 18
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
