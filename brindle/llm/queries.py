@@ -35,6 +35,13 @@ u as (
 )"""
 
 ORACLE = {
+    "op1_warc": """
+with d as (
+  select page_id, url, strlen(coalesce(html, ''))::bigint as payload_bytes, sha1(coalesce(html, '')) as payload_digest,
+    max(page_id) over (partition by coalesce(html, '')) as top from pages
+)
+select page_id, payload_bytes, payload_digest, case when payload_bytes >= 1000 and page_id <> top then 'revisit' else 'response' end as record_type,
+  case when payload_bytes >= 1000 and page_id <> top then top end as refers_to, url as target_uri from d""",
     "op8_url_rules": "with "
     + _URL_PARTS.strip()
     + """,
