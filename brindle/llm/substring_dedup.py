@@ -14,7 +14,7 @@ from .runtime import partitions, stored
 from .words import Hasher, mix, slices, texts, windows
 
 #: Words of a shingle, least words of a passage, hash functions, and how many must agree.
-WIDTH, PASSAGE, HASHES, ENOUGH = 5, 50, 5, 2
+WIDTH, PASSAGE, HASHES, ENOUGH = 5, 50, 4, 2
 SPAN = PASSAGE - WIDTH + 1
 #: Similarity of 80%: of a passage's shingles 8 in 9 lie in both (8 / (2 * 9 - 8) = 0.8).
 MISS = 8
@@ -63,7 +63,23 @@ def compact_windows(values: np.ndarray, borders: np.ndarray, span: int = SPAN) -
     return np.array(left, np.int64), centres, np.array(right, np.int64)
 
 
-_WINDOW = "key long, text_key long, f int, c int, l int, r int"
+#: A window in one long: place of the centre, reach to the left and right (longer reaches are cut), hash function.
+_PLACE, _REACH, _FUNCTION = 24, 18, 3
+_WINDOW = "key long, text_key long, window long"
+
+
+def pack(c: np.ndarray, left: np.ndarray, right: np.ndarray, f: int) -> np.ndarray:
+    most = (1 << _REACH) - 1
+    return (((c << _REACH | np.minimum(c - left, most)) << _REACH | np.minimum(right - c, most)) << _FUNCTION) | f
+
+
+def unpack(w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(c, l, r, f)"""
+    most = (1 << _REACH) - 1
+    f, w = w & ((1 << _FUNCTION) - 1), w >> _FUNCTION
+    right, w = w & most, w >> _REACH
+    c = w >> _REACH
+    return c, c - (w & most), c + right, f
 
 
 def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -71,118 +87,116 @@ def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys = batch.column(0).to_numpy()
         data, offsets = texts(batch.column(1))
         for lo, hi in slices(offsets):
-            for a, b in _within(offsets, lo, hi):
-                hashes, _, words = _HASH.rows(data, offsets[a : b + 1])
-                shingles, borders = windows(hashes, words, WIDTH)
-                owner = np.repeat(np.arange(b - a), np.diff(borders))
-                for f in range(HASHES):
-                    values = mix(shingles * _ODD[f])
-                    left, c, right = compact_windows(values, borders)
-                    base = borders[owner[c]]
-                    post = mix(values[c] + np.uint64(f)).view(np.int64)
-                    columns = [pa.array(post), pa.array(keys[a:b][owner[c]]), pa.array(np.full(len(c), f, np.int32)), *(pa.array((x - base).astype(np.int32)) for x in (c, left, right))]
-                    yield pa.RecordBatch.from_arrays(columns, names=["key", "text_key", "f", "c", "l", "r"])
+            if offsets[hi] - offsets[lo] >= 1 << 25:
+                raise ValueError("a text of 32 MB or more; cut it before this operator")
+            hashes, _, words = _HASH.rows(data, offsets[lo : hi + 1])
+            shingles, borders = windows(hashes, words, WIDTH)
+            owner = np.repeat(np.arange(hi - lo), np.diff(borders))
+            made = []
+            for f in range(HASHES):
+                values = mix(shingles * _ODD[f])
+                left, c, right = compact_windows(values, borders)
+                base = borders[owner[c]]
+                made.append((mix(values[c] + np.uint64(f)).view(np.int64), keys[lo:hi][owner[c]], pack(c - base, left - base, right - base, f)))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(v)) for v in zip(*made, strict=True)], names=["key", "text_key", "window"])
 
 
-def _within(offsets: np.ndarray, lo: int, hi: int) -> Iterator[tuple[int, int]]:
-    """Runs of texts with fewer than 2 ** 24 positions; a longer single text is refused by its length in bytes."""
-    if offsets[hi] - offsets[lo] >= 1 << 25 and hi - lo == 1:
-        raise ValueError("a text of 32 MB or more; cut it before this operator")
-    yield lo, hi
-
-
-_PAIR = "p long, x long, f int, pc int, pl int, pr int, c int, l int, r int"
+_PAIR = "p long, x long, shift long, p_window long, x_window long, many boolean"
 
 
 def _star(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows in order of (key, text_key, c): every text of a posting list against the first of it."""
+    """From rows in order of (key, text_key, window): every text of a posting list against the first of it.
+
+    ``many``: the list has more texts than these two, as far as the batch shows it.
+    """
     pivot, last = None, None
     for batch in batches:
         if not batch.num_rows:
             continue
-        key, text, f, c, left, right = (batch.column(i).to_numpy() for i in range(6))
-        new = np.ones(len(key), bool)
+        key, text, window = (batch.column(i).to_numpy() for i in range(3))
+        new, again = np.ones(len(key), bool), np.zeros(len(key), bool)
         new[1:] = key[1:] != key[:-1]
-        again = np.zeros(len(key), bool)
-        again[1:] = ~new[1:] & (text[1:] == text[:-1]) & (c[1:] == c[:-1])
+        again[1:] = ~new[1:] & (text[1:] == text[:-1]) & (window[1:] == window[:-1])
         if last is not None and last[0] == key[0]:
             new[0] = False
-            again[0] = last == (key[0], text[0], c[0])
+            again[0] = last == (key[0], text[0], window[0])
+        lists = np.cumsum(new) - new[0]
+        size = np.bincount(lists, ~again)
+        size[-1] += 3
+        if not new[0]:
+            size[0] += 3
         start = np.maximum.accumulate(np.where(new, np.arange(len(key)), -1))
-        columns = []
-        for k, own in enumerate((text, c, left, right)):
-            from_batch = own[np.maximum(start, 0)]
-            columns.append(np.where(start >= 0, from_batch, pivot[k] if pivot is not None else 0))
-        pair = (columns[0] != text) & ~again
-        yield pa.RecordBatch.from_arrays([pa.array(v[pair]) for v in (columns[0], text, f, *columns[1:], c, left, right)], names=["p", "x", "f", "pc", "pl", "pr", "c", "l", "r"])
-        pivot = tuple(col[-1] for col in columns)
-        last = (key[-1], text[-1], c[-1])
+        p, p_window = (np.where(start >= 0, own[np.maximum(start, 0)], pivot[k] if pivot is not None else 0) for k, own in enumerate((text, window)))
+        pair = (p != text) & ~again
+        shift = unpack(p_window[pair])[0] - unpack(window[pair])[0]
+        yield pa.RecordBatch.from_arrays([pa.array(v) for v in (p[pair], text[pair], shift, p_window[pair], window[pair], (size > 2)[lists][pair])], names=["p", "x", "shift", "p_window", "x_window", "many"])
+        pivot, last = (p[-1], p_window[-1]), (key[-1], text[-1], window[-1])
 
 
-def agreeing(rows: np.ndarray, span: int = SPAN, enough: int = ENOUGH) -> np.ndarray:
-    """Which collisions (f, pc, pl, pr, c, l, r) of one pair of texts meet others in a common passage.
+def agreeing(group: np.ndarray, p_window: np.ndarray, x_window: np.ndarray, span: int = SPAN) -> np.ndarray:
+    """Which collisions meet one of another hash function in a common passage: the interval join.
 
-    The interval join: a passage of ``span`` shingles can hold the centres of both, inside
-    both windows, in either text; collisions of ``enough`` hash functions must meet so.
+    Rows of one group (a pair of texts and a shift between them) stand together in order of
+    their place. Two of them meet if ``span`` shingles running can hold both centres inside
+    both windows, in either text. With ``ENOUGH`` = 2 one such other is enough; windows with
+    one function do not overlap in their centres, so few rows stand between two that meet.
     """
-    out = np.zeros(len(rows), bool)
-    for at in range(0, len(rows), 512):
-        some = rows[at : at + 512]
-        fits = np.ones((len(some), len(rows)), bool)
-        for c, left, right in ((1, 2, 3), (4, 5, 6)):
-            low, high = np.minimum(some[:, None, c], rows[None, :, c]), np.maximum(some[:, None, c], rows[None, :, c])
-            start, stop = np.maximum(some[:, None, left], rows[None, :, left]), np.minimum(some[:, None, right], rows[None, :, right])
-            fits &= (start <= low) & (high <= stop) & (stop - start + 1 >= span)
-        seen = np.zeros((len(some), HASHES), bool)
-        for f in range(HASHES):
-            seen[:, f] = (fits & (rows[None, :, 0] == f)).any(1)
-        out[at : at + 512] = seen.sum(1) >= enough
+    out = np.zeros(len(group), bool)
+    p, x = unpack(p_window), unpack(x_window)
+    for k in range(1, min(4 * HASHES, len(group))):
+        fits = (group[k:] == group[:-k]) & (x[3][k:] != x[3][:-k])
+        if not (group[k:] == group[:-k]).any():
+            break
+        for c, left, right, _ in (p, x):
+            start, stop = np.maximum(left[k:], left[:-k]), np.minimum(right[k:], right[:-k])
+            fits &= (start <= np.minimum(c[k:], c[:-k])) & (np.maximum(c[k:], c[:-k]) <= stop) & (stop - start + 1 >= span)
+        out[k:] |= fits
+        out[:-k] |= fits
     return out
 
 
-_MET = "p long, x long, strong boolean, pcs array<int>, cs array<int>"
+#: low, high: the words of x that the windows of the anchors span; both null: anchors of x for the second round only.
+_MET = "p long, x long, shift long, low int, high int, cs array<int>"
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows in order of (p, x): the pair's anchors in common passages, and the other anchors of x."""
-    held: list[np.ndarray] = []
-    name = None
-
-    def close() -> list[tuple]:
-        rows = np.concatenate(held)
-        good = agreeing(rows)
-        out = []
-        for strong in (True, False):
-            some = rows[good == strong]
-            if len(some):
-                out.append((name[0], name[1], strong, some[:, 1].tolist(), some[:, 4].tolist()))
-        return out
-
-    made: list[tuple] = []
+    """From rows in order of (p, x, shift, x_window): shifts along which texts meet, and the other anchors of long lists."""
+    for batch in _grouped(batches):
+        p, x, shift, p_window, x_window = (batch.column(i).to_numpy() for i in range(5))
+        many = batch.column(5).to_numpy(zero_copy_only=False)
+        new = np.concatenate([[True], (p[1:] != p[:-1]) | (x[1:] != x[:-1]) | (shift[1:] != shift[:-1])])
+        group = np.cumsum(new)
+        good = agreeing(group, p_window, x_window)
+        c, left, right, _ = unpack(x_window)
+        for strong, keep in ((True, good), (False, ~good & many)):
+            at = np.flatnonzero(keep)
+            if not len(at):
+                continue
+            first = np.concatenate([[True], group[at][1:] != group[at][:-1]])
+            begins = np.flatnonzero(first)
+            low, high = np.minimum.reduceat(left[at], begins), np.maximum.reduceat(right[at], begins) + WIDTH
+            lists = pa.ListArray.from_arrays(pa.array(np.append(begins, len(at)).astype(np.int32)), pa.array(c[at].astype(np.int32)))
+            heads = at[begins]
+            limits = [pa.array(v.astype(np.int32)) if strong else pa.nulls(len(begins), pa.int32()) for v in (low, high)]
+            yield pa.RecordBatch.from_arrays([pa.array(p[heads]), pa.array(x[heads]), pa.array(shift[heads]), *limits, lists], names=["p", "x", "shift", "low", "high", "cs"])
+
+
+def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches that end where a group (p, x, shift) ends."""
+    rest: list[pa.RecordBatch] = []
     for batch in batches:
         if not batch.num_rows:
             continue
-        p, x = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        rows = np.column_stack([batch.column(i).to_numpy() for i in range(2, 9)])
-        cuts = np.concatenate([[0], np.flatnonzero((p[1:] != p[:-1]) | (x[1:] != x[:-1])) + 1, [len(p)]])
-        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            if (p[a], x[a]) != name:
-                if held:
-                    made += close()
-                name, held = (p[a], x[a]), []
-            held.append(rows[a:b])
-            if len(made) >= 2000:
-                yield _met(made)
-                made = []
-    if held:
-        made += close()
-    yield _met(made)
-
-
-def _met(made: list[tuple]) -> pa.RecordBatch:
-    types = (pa.int64(), pa.int64(), pa.bool_(), pa.list_(pa.int32()), pa.list_(pa.int32()))
-    columns = list(zip(*made, strict=True)) if made else [[]] * 5
-    return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(columns, types, strict=True)], names=["p", "x", "strong", "pcs", "cs"])
+        p, x, shift = (batch.column(i).to_numpy() for i in range(3))
+        same = (p == p[-1]) & (x == x[-1]) & (shift == shift[-1])
+        cut = batch.num_rows - int(np.argmin(same[::-1])) if not same.all() else 0
+        if cut:
+            yield pa.Table.from_batches([*rest, batch.slice(0, cut)]).combine_chunks().to_batches()[0]
+            rest = [batch.slice(cut)]
+        else:
+            rest.append(batch)
+    if rest:
+        yield pa.Table.from_batches(rest).combine_chunks().to_batches()[0]
 
 
 def passages(a: np.ndarray, b: np.ndarray, shifts: list[int]) -> list[tuple[int, int, int]]:
@@ -215,30 +229,61 @@ def passages(a: np.ndarray, b: np.ndarray, shifts: list[int]) -> list[tuple[int,
     return out
 
 
-_FOUND = "x long, p long, x_start int, x_end int, p_start int, block long, c int"
+_SLICE = "p long, x long, shift long, low int, cs array<int>, part binary"
+
+
+def _words32(data: np.ndarray, offsets: np.ndarray, i: int) -> np.ndarray:
+    return (_HASH.rows(data, offsets[i : i + 2])[0] >> np.uint64(32)).astype(np.uint32)
+
+
+def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The words of x between low and high, as 32-bit hashes, for each (p, x, shift, low, high, cs, text of x)."""
+    last, own = None, None
+    for batch in batches:
+        data, offsets = texts(batch.column(6))
+        parts = []
+        for i, (x, low, high) in enumerate(zip(*(batch.column(k).to_pylist() for k in (1, 3, 4)), strict=True)):
+            if x != last:
+                last, own = x, _words32(data, offsets, i)
+            parts.append(own[low:high].tobytes())
+        yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in (0, 1, 2, 3, 5)), pa.array(parts, pa.binary())], names=["p", "x", "shift", "low", "cs", "part"])
+
+
+_FOUND = "x long, p long, x_start int, x_end int, p_start int, c int"
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Passages of pairs (p, x, pcs, cs, texts); where an anchor lies in none, the blocks of x around it."""
+    """Passages along each (p, x, shift, low, cs, part of x, text of p), or the anchors that lie in none."""
+    last, own = None, None
     for batch in batches:
+        data, offsets = texts(batch.column(6))
         rows: list[tuple] = []
-        data, offsets = texts(batch.column(4))
-        p_data, p_offsets = texts(batch.column(5))
-        for i, (p, x, pcs, cs) in enumerate(zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True)):
-            b = _HASH.rows(data, offsets[i : i + 2])[0]
-            found = []
-            if pcs:
-                a = _HASH.rows(p_data, p_offsets[i : i + 2])[0]
-                found = passages(a, b, [u - v for u, v in zip(pcs, cs, strict=True)])
-                rows += [(x, p, s, e, q, None, None) for s, e, q in found]
-            rest = {c for c in cs if not any(s <= c and c + WIDTH <= e for s, e, _ in found)}
-            starts = sorted({c - back for c in rest for back in range(0, CONTEXT - WIDTH + 1, STEP) if 0 <= c - back <= len(b) - CONTEXT})
+        for i, (p, x, shift, low, cs, part) in enumerate(zip(*(batch.column(k).to_pylist() for k in range(6)), strict=True)):
+            if p != last:
+                last, own = p, _words32(data, offsets, i)
+            found = [(low + s, low + e, q) for s, e, q in passages(own, np.frombuffer(part, np.uint32), [shift + low])]
+            rows += [(x, p, s, e, q, None) for s, e, q in found]
+            rows += [(x, p, None, None, None, c) for c in cs if not any(s <= c and c + WIDTH <= e for s, e, _ in found)]
+        types = (pa.int64(), pa.int64(), *[pa.int32()] * 4)
+        columns = list(zip(*rows, strict=True)) if rows else [[]] * 6
+        yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(columns, types, strict=True)], names=["x", "p", "x_start", "x_end", "p_start", "c"])
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Window rows of the blocks of ``CONTEXT`` words around the anchors of (x, cs, text)."""
+    for batch in batches:
+        data, offsets = texts(batch.column(2))
+        keys, names, places = [], [], []
+        for i, (x, cs) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
+            words = _HASH.rows(data, offsets[i : i + 2])[0]
+            starts = sorted({c - back for c in cs for back in range(0, CONTEXT - WIDTH + 1, STEP) if 0 <= c - back <= len(words) - CONTEXT})
             if starts:
-                blocks = windows(b, np.array([0, len(b)]), CONTEXT)[0][starts].view(np.int64).tolist()
-                rows += [(x, None, None, None, None, h, s) for h, s in zip(blocks, starts, strict=True)]
-        types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int32())
-        columns = list(zip(*rows, strict=True)) if rows else [[]] * 7
-        yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(columns, types, strict=True)], names=["x", "p", "x_start", "x_end", "p_start", "block", "c"])
+                keys.append(windows(words, np.array([0, len(words)]), CONTEXT)[0][starts].view(np.int64))
+                names.append(np.full(len(starts), x, np.int64))
+                at = np.array(starts, np.int64)
+                places.append(pack(at, np.zeros_like(at), np.full_like(at, len(words) - WIDTH), 0))
+        none = [np.zeros(0, np.int64)]
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(v or none)) for v in (keys, names, places)], names=["key", "text_key", "window"])
 
 
 def _wanted(shared):
@@ -272,17 +317,20 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     spark = docs.sparkSession
     n = partitions(spark)
     rows = docs.select(_text_key(text_col).alias("text_key"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("text"))
-    windows_ = rows.mapInArrow(_window_rows, _WINDOW).repartition(n, "key").sortWithinPartitions("key", "text_key", "c")
-    pairs = stored(windows_.mapInArrow(_star, _PAIR), "window-pairs")
-    met = stored(pairs.repartition(n, "p", "x").sortWithinPartitions("p", "x").mapInArrow(_meet, _MET), "met")
-    whole = _whole_texts(rows, met.select(F.explode(F.array("p", "x")).alias("text_key")))
-    first = stored(_verified(met.select("p", "x", F.when(F.col("strong"), F.col("pcs")).alias("pcs"), "cs"), whole), "passages")
-    blocks = first.filter("block is not null").select(F.col("block").alias("key"), F.col("x").alias("text_key"), F.lit(0).alias("f"), "c", F.lit(0).alias("l"), F.lit(0).alias("r")).distinct()
-    again = stored(blocks.repartition(n, "key").sortWithinPartitions("key", "text_key", "c").mapInArrow(_star, _PAIR), "block-pairs")
-    more = again.groupBy("p", "x").agg(F.collect_set(F.col("pc") - F.col("c")).alias("shifts"))  # at most the words of a text
-    more = more.select("p", "x", "shifts", F.transform("shifts", lambda s: F.lit(0)).alias("cs"))
-    second = _verified(more.select("p", "x", F.col("shifts").alias("pcs"), "cs"), whole).filter("block is null")
-    found = stored(first.filter("block is null").unionByName(second).select("x", "p", "x_start", "x_end", "p_start"), "found")
+    order = ["key", "text_key", "window"]
+    star = lambda df: df.repartition(n, "key").sortWithinPartitions(*order).mapInArrow(_star, _PAIR)
+    pairs = stored(star(rows.mapInArrow(_window_rows, _WINDOW)), "window-pairs")
+    met = stored(pairs.repartition(n, "p", "x").sortWithinPartitions("p", "x", "shift", "x_window").mapInArrow(_meet, _MET), "met")
+    whole = _whole_texts(rows, met.select(F.explode(F.when(F.col("low").isNull(), F.array("x")).otherwise(F.array("p", "x"))).alias("text_key")))
+    first = stored(_verified(met.filter("low is not null"), whole), "passages")
+    # second round: anchors that lie in no passage found, of lists with further texts
+    rest = met.filter("low is null").select("x", F.explode("cs").alias("c")).union(first.filter("c is not null").select("x", "c"))
+    rest = rest.groupBy("x").agg(F.collect_set("c").alias("cs"))  # at most the shingles of a text
+    texts_ = whole.withColumnRenamed("text_key", "x")
+    blocks = rest.join(texts_, "x").select("x", "cs", "text").mapInArrow(_blocks, _WINDOW)
+    again = star(blocks).groupBy("p", "x", "shift").agg(F.lit(0).alias("low"), F.max(F.shiftright("x_window", _FUNCTION + 2 * _REACH) + F.shiftright("x_window", _FUNCTION).bitwiseAND(F.lit((1 << _REACH) - 1)) + WIDTH).cast("int").alias("high"), F.array().cast("array<int>").alias("cs"))
+    second = _verified(again.select("p", "x", "shift", "low", "high", "cs"), whole)
+    found = stored(first.filter("c is null").unionByName(second.filter("c is null")).select("x", "p", "x_start", "x_end", "p_start"), "found")
     sides = found.select(F.col("x").alias("text_key"), F.col("x_start").alias("start_word"), F.col("x_end").alias("end_word"), F.col("p").alias("other"), F.col("p_start").alias("other_start"))
     sides = sides.unionByName(found.select(F.col("p").alias("text_key"), F.col("p_start").alias("start_word"), (F.col("p_start") + F.col("x_end") - F.col("x_start")).alias("end_word"), F.col("x").alias("other"), F.col("x_start").alias("other_start")))
     spans = stored(sides.groupBy("text_key", "start_word", "end_word").agg(F.min(F.struct("other", "other_start")).alias("one"), F.count_distinct("other").alias("partners")), "spans")
@@ -297,11 +345,11 @@ def _whole_texts(rows: DataFrame, keys: DataFrame) -> DataFrame:
     return stored(some.join(keys, "text_key"), "whole-texts")
 
 
-def _verified(pairs: DataFrame, whole: DataFrame) -> DataFrame:
-    x = whole.select(F.col("text_key").alias("x"), F.col("text").alias("x_text"))
-    p = whole.select(F.col("text_key").alias("p"), F.col("text").alias("p_text"))
-    both = pairs.join(x, "x").join(p, "p")
-    return both.select("p", "x", "pcs", "cs", "x_text", "p_text").mapInArrow(_verify, _FOUND)
+def _verified(met: DataFrame, whole: DataFrame) -> DataFrame:
+    """The passages: the part of x goes to the text of p, so a text is moved once, not once a pair."""
+    x, p = whole.withColumnRenamed("text_key", "x"), whole.withColumnRenamed("text_key", "p")
+    parts = met.join(x, "x").select("p", "x", "shift", "low", "high", "cs", "text").mapInArrow(_cut_out, _SLICE)
+    return parts.join(p, "p").select("p", "x", "shift", "low", "cs", "part", "text").mapInArrow(_verify, _FOUND)
 
 
 def _by_document(docs: DataFrame, spans: DataFrame, id_col: str, text_col: str) -> DataFrame:
