@@ -73,6 +73,15 @@ def test_common_lines_do_not_hide_longer_repeats(spark):
     assert {r.doc_id for r in found} == {25, 26, 27, 28, 29, 30}
 
 
+def test_runs_of_one_word(spark):
+    rng = random.Random(12)
+    runs = [("the " * n).split() for n in (49, 60, 90, 300)]
+    texts = [" ".join(sentence(rng, 20).split() + r + sentence(rng, rng.randint(5, 70)).split()) for r in runs for _ in range(3)]
+    texts += [" ".join(sentence(rng, 30).split() + runs[1] + texts[0].split()[-5:]), " ".join(runs[3] + sentence(rng, 9).split())]
+    rows = [(i, t, "en", "s", 0) for i, t in enumerate(texts)]
+    check(rows, sd.repeated_passages(spark.createDataFrame(rows, odd_docs(spark).schema)).collect())
+
+
 def test_substitutions_within_bounds_are_found(spark):
     rng = random.Random(10)
     passage = sentence(rng, 120).split()
