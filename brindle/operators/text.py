@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brindle.functions.analyzer import analyze, native_analyzer
+from brindle.tables import spread
 
 K1, B = 1.2, 0.75
 
@@ -48,7 +49,7 @@ class TextIndex:
     @classmethod
     def build(cls, df: DataFrame, key: str, text: str, tokens: Callable[[Column], Column] | None = None) -> TextIndex:
         tokens = tokens or native_analyzer()
-        docs = df.filter(F.col(text).isNotNull()).select(key, tokens(F.col(text)).alias("tokens"))
+        docs = spread(df.filter(F.col(text).isNotNull()).select(key, text)).select(key, tokens(F.col(text)).alias("tokens"))
         lengths = docs.select(key, F.size("tokens").cast("long").alias("length"))
         postings = docs.select(key, F.explode("tokens").alias("term")).groupBy("term", key).agg(F.count(F.lit(1)).alias("tf"))
         return cls(postings, lengths, postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")), key, tokens)
@@ -69,18 +70,23 @@ class TextIndex:
     def totals(self) -> DataFrame:
         return self.lengths.agg(F.count(F.lit(1)).cast("double").alias("n"), F.avg("length").alias("avg_length"))
 
-    def _query(self, query: str) -> DataFrame:
+    def _query(self, query: str) -> tuple[DataFrame, Column]:
+        """The query's terms with their counts, and a filter on them.
+
+        The filter stands beside the join because it is pushed below the grouping of
+        terms, and to the scan of saved tables.
+        """
         spark = self.postings.sparkSession
         counts = query_terms(spark, query, self.tokens)
         rows = [(t, float(c)) for t, c in sorted(counts.items())]
-        return spark.createDataFrame(rows, "term string, qtf double")
+        return spark.createDataFrame(rows, "term string, qtf double"), F.col("term").isin(*sorted(counts))
 
     def bm25(self, query: str, k1: float = K1, b: float = B) -> DataFrame:
         """(id, score) of the documents that share a term with the query."""
         check_bm25(k1, b)
-        q = self._query(query)
-        known = F.broadcast(self.terms.join(F.broadcast(q), "term"))  # at most the query's terms
-        hits = self.postings.join(known, "term").join(self.lengths, self.key).crossJoin(F.broadcast(self.totals()))
+        q, named = self._query(query)
+        known = F.broadcast(self.terms.filter(named).join(F.broadcast(q), "term"))  # at most the query's terms
+        hits = self.postings.filter(named).join(known, "term").join(self.lengths, self.key).crossJoin(F.broadcast(self.totals()))
         weight = bm25_weight(F.col("tf"), F.col("length"), F.col("df"), F.col("n"), F.col("avg_length"), F.col("qtf"), k1, b)
         return hits.groupBy(self.key).agg(F.sum(weight).alias("score"))
 
@@ -92,10 +98,10 @@ class TextIndex:
 
     def tf_idf(self, query: str) -> DataFrame:
         """(id, score): cosine of raw tf times ln(N / df) vectors; 0 where either norm is 0."""
-        q = self._query(query)
-        known = self.terms.join(F.broadcast(q), "term").crossJoin(F.broadcast(self.totals())).withColumn("idf", F.log(F.col("n") / F.col("df")))
+        q, named = self._query(query)
+        known = self.terms.filter(named).join(F.broadcast(q), "term").crossJoin(F.broadcast(self.totals())).withColumn("idf", F.log(F.col("n") / F.col("df")))
         length = F.broadcast(known.agg(F.sqrt(F.sum((F.col("qtf") * F.col("idf")) ** 2)).alias("q_norm")))
-        hits = self.postings.join(F.broadcast(known), "term").groupBy(self.key).agg(F.sum(F.col("qtf") * F.col("tf") * F.col("idf") * F.col("idf")).alias("dot"))
+        hits = self.postings.filter(named).join(F.broadcast(known), "term").groupBy(self.key).agg(F.sum(F.col("qtf") * F.col("tf") * F.col("idf") * F.col("idf")).alias("dot"))
         scored = hits.join(self.norms(), self.key).crossJoin(length)
         cosine = F.when((F.col("norm") > 0) & (F.col("q_norm") > 0), F.col("dot") / (F.col("norm") * F.col("q_norm"))).otherwise(0.0)
         return scored.select(self.key, F.greatest(F.lit(0.0), F.least(F.lit(1.0), cosine)).alias("score"))
@@ -139,18 +145,21 @@ def scan_bm25(df: DataFrame, key: str, text: str, query: str, tokens: Callable[[
     spark = df.sparkSession
     tokens = tokens or native_analyzer()
     counts = sorted(query_terms(spark, query, tokens).items())
-    docs = df.filter(F.col(text).isNotNull()).withColumn("_tokens", tokens(F.col(text)))
-    times = lambda t: F.size(F.filter("_tokens", lambda w: w == F.lit(t)))
-    docs = docs.withColumn("_tf", F.array(*(times(t) for t, _ in counts)) if counts else F.array().cast("array<int>"))
-    stats = docs.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("_tokens")).alias("avg"), *(F.sum((F.col("_tf")[i] > 0).cast("long")).alias(f"df{i}") for i in range(len(counts)))).first()
+    terms = [t for t, _ in counts]
+    once = lambda c: F.explode(F.array(c))  # noqa: E731  a generator keeps what is behind it from being computed again at each use
+    docs = spread(df.filter(F.col(text).isNotNull())).select("*", once(tokens(F.col(text))).alias("_tokens"))
+    docs = docs.withColumn("_seen", once(F.struct(F.size("_tokens").alias("n"), F.filter("_tokens", lambda w: w.isin(*terms)).alias("hits")))).drop("_tokens")
+    times = lambda t: F.size(F.filter("_seen.hits", lambda w: w == F.lit(t)))
+    docs = docs.withColumn("_tf", F.array(*map(times, terms)) if terms else F.array().cast("array<int>"))
+    stats = docs.agg(F.count(F.lit(1)).alias("n"), F.avg("_seen.n").alias("avg"), *(F.sum((F.col("_tf")[i] > 0).cast("long")).alias(f"df{i}") for i in range(len(counts)))).first()
     score = F.lit(0.0)
     for i, (_, c) in enumerate(counts):
         if stats[f"df{i}"]:
             tf = F.col("_tf")[i]
-            weight = bm25_weight(tf, F.size("_tokens"), F.lit(float(stats[f"df{i}"])), F.lit(float(stats["n"])), F.lit(float(stats["avg"])), F.lit(float(c)), k1, b)
+            weight = bm25_weight(tf, F.col("_seen.n"), F.lit(float(stats[f"df{i}"])), F.lit(float(stats["n"])), F.lit(float(stats["avg"])), F.lit(float(c)), k1, b)
             score = score + F.when(tf > 0, weight).otherwise(0.0)
     hit = F.exists("_tf", lambda v: v > 0)
-    return docs.filter(hit).withColumn("score", score).drop("_tokens", "_tf")
+    return docs.filter(hit).withColumn("score", score).drop("_seen", "_tf")
 
 
 def precision_recall(ranked: DataFrame, relevant: DataFrame, k: int, query_key: str, key: str) -> DataFrame:
