@@ -104,33 +104,70 @@ def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 _PAIR = "p long, x long, shift long, p_window long, x_window long, many boolean"
 
 
+#: More windows of a text in one list than these may be a run: those that follow at equal steps are its tail.
+RUN, PAIRS = 16, 1 << 17
+
+
+def _tails(group: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Which windows of a text in a list go on a run of repeated words: at least the third at equal steps below ``PASSAGE``."""
+    out = np.zeros(len(group), bool)
+    if len(group) > 2:
+        step = np.diff(c)
+        out[2:] = (group[2:] == group[:-2]) & (step[1:] == step[:-1]) & (step[1:] < PASSAGE)
+        out &= (np.bincount(group) > RUN)[group]
+    return out
+
+
 def _star(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows in order of (key, text_key, window): every text of a posting list against the first of it.
+    """From rows in order of (key, text_key, window): every window of a posting list against all those of its first text.
 
-    ``many``: the list has more texts than these two, as far as the batch shows it.
+    In a long run of repeated words all places are alike, so the tail of a run meets only
+    windows of the other text that are in no tail. ``many``: the list has more texts than
+    these two, as far as the batch shows it.
     """
-    pivot, last = None, None
+    last, pivot, own, own_tail = None, None, np.zeros(0, np.int64), np.zeros(0, bool)
     for batch in batches:
         if not batch.num_rows:
             continue
         key, text, window = (batch.column(i).to_numpy() for i in range(3))
-        new, again = np.ones(len(key), bool), np.zeros(len(key), bool)
-        new[1:] = key[1:] != key[:-1]
-        again[1:] = ~new[1:] & (text[1:] == text[:-1]) & (window[1:] == window[:-1])
-        if last is not None and last[0] == key[0]:
-            new[0] = False
-            again[0] = last == (key[0], text[0], window[0])
-        lists = np.cumsum(new) - new[0]
-        size = np.bincount(lists, ~again)
+        again = np.zeros(len(key), bool)
+        again[1:] = (key[1:] == key[:-1]) & (text[1:] == text[:-1]) & (window[1:] == window[:-1])
+        again[0] = last == (key[0], text[0], window[0])
+        carried, last = last is not None and last[0] == key[0], (key[-1], text[-1], window[-1])
+        key, text, window = key[~again], text[~again], window[~again]
+        if not len(key):
+            continue
+        new = np.concatenate([[True], key[1:] != key[:-1]])
+        lists = np.cumsum(new) - 1
+        heads = text[new]
+        if carried:
+            heads[0] = pivot
+        else:
+            own, own_tail = own[:0], own_tail[:0]
+        size = np.bincount(lists)
         size[-1] += 3
-        if not new[0]:
+        if carried:
             size[0] += 3
-        start = np.maximum.accumulate(np.where(new, np.arange(len(key)), -1))
-        p, p_window = (np.where(start >= 0, own[np.maximum(start, 0)], pivot[k] if pivot is not None else 0) for k, own in enumerate((text, window)))
-        pair = (p != text) & ~again
-        shift = unpack(p_window[pair])[0] - unpack(window[pair])[0]
-        yield pa.RecordBatch.from_arrays([pa.array(v) for v in (p[pair], text[pair], shift, p_window[pair], window[pair], (size > 2)[lists][pair])], names=["p", "x", "shift", "p_window", "x_window", "many"])
-        pivot, last = (p[-1], p_window[-1]), (key[-1], text[-1], window[-1])
+        first = text == heads[lists]
+        tail = _tails(np.cumsum(np.concatenate([[True], new[1:] | (text[1:] != text[:-1])])), unpack(window)[0])
+        p_list = np.concatenate([np.zeros(len(own), np.int64), lists[first]])
+        p_window, p_tail = np.concatenate([own, window[first]]), np.concatenate([own_tail, tail[first]])
+        others = np.flatnonzero(~first)
+        for rows, among in ((others, np.flatnonzero(~p_tail)), (others[~tail[others]], np.flatnonzero(p_tail))):
+            begin, end = (np.searchsorted(p_list[among], lists[rows], side) for side in ("left", "right"))
+            sums = np.concatenate([[0], np.cumsum(end - begin)])
+            at = 0
+            while at < len(rows):
+                stop = max(at + 1, int(np.searchsorted(sums, sums[at] + PAIRS, "right")) - 1)
+                n = (end - begin)[at:stop]
+                x = np.repeat(rows[at:stop], n)
+                p = among[np.arange(len(x)) + np.repeat(begin[at:stop] - sums[at:stop] + sums[at], n)]
+                at = stop
+                if len(x):
+                    shift = unpack(p_window[p])[0] - unpack(window[x])[0]
+                    yield pa.RecordBatch.from_arrays([pa.array(v) for v in (heads[lists[x]], text[x], shift, p_window[p], window[x], (size > 2)[lists[x]])], names=["p", "x", "shift", "p_window", "x_window", "many"])
+        pivot, open_ = heads[-1], p_list == lists[-1]
+        own, own_tail = p_window[open_], p_tail[open_]
 
 
 def agreeing(group: np.ndarray, p_window: np.ndarray, x_window: np.ndarray, span: int = SPAN) -> np.ndarray:
@@ -249,7 +286,7 @@ def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in (0, 1, 2, 3, 5)), pa.array(parts, pa.binary())], names=["p", "x", "shift", "low", "cs", "part"])
 
 
-_FOUND = "x long, p long, x_start int, x_end int, p_start int, c int"
+_FOUND = "x long, p long, x_start int, x_end int, p_start int, c int, shift long"
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -262,11 +299,11 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if p != last:
                 last, own = p, _words32(data, offsets, i)
             found = [(low + s, low + e, q) for s, e, q in passages(own, np.frombuffer(part, np.uint32), [shift + low])]
-            rows += [(x, p, s, e, q, None) for s, e, q in found]
-            rows += [(x, p, None, None, None, c) for c in cs if not any(s <= c and c + WIDTH <= e for s, e, _ in found)]
-        types = (pa.int64(), pa.int64(), *[pa.int32()] * 4)
-        columns = list(zip(*rows, strict=True)) if rows else [[]] * 6
-        yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(columns, types, strict=True)], names=["x", "p", "x_start", "x_end", "p_start", "c"])
+            rows += [(x, p, s, e, q, None, shift) for s, e, q in found]
+            rows += [(x, p, None, None, None, c, shift) for c in cs if not any(s <= c and c + WIDTH <= e for s, e, _ in found)]
+        types = (pa.int64(), pa.int64(), *[pa.int32()] * 4, pa.int64())
+        columns = list(zip(*rows, strict=True)) if rows else [[]] * 7
+        yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(columns, types, strict=True)], names=["x", "p", "x_start", "x_end", "p_start", "c", "shift"])
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -305,8 +342,8 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     compared as one and then count as partners of each other over their whole length, if
     they have 50 words.
 
-    Every posting list of windows with one minimal shingle compares its texts with the
-    first of them, which is linear in a list's length. Where that finds nothing, blocks of
+    Every posting list of windows with one minimal shingle compares its texts with all
+    windows of the first of them, which is linear in the number of its texts. Where that finds nothing, blocks of
     41 words around the shingle make lists of a second round, so texts that share more
     with each other than with the first are found too.
 
@@ -321,10 +358,11 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     star = lambda df: df.repartition(n, "key").sortWithinPartitions(*order).mapInArrow(_star, _PAIR)
     pairs = stored(star(rows.mapInArrow(_window_rows, _WINDOW)), "window-pairs")
     met = stored(pairs.repartition(n, "p", "x").sortWithinPartitions("p", "x", "shift", "x_window").mapInArrow(_meet, _MET), "met")
-    whole = _whole_texts(rows, met.select(F.explode(F.when(F.col("low").isNull(), F.array("x")).otherwise(F.array("p", "x"))).alias("text_key")))
+    whole = _whole_texts(rows, met.select(F.explode(F.array("p", "x")).alias("text_key")))
     first = stored(_verified(met.filter("low is not null"), whole), "passages")
     # second round: anchors that lie in no passage found, of lists with further texts
-    rest = met.filter("low is null").select("x", F.explode("cs").alias("c")).union(first.filter("c is not null").select("x", "c"))
+    rest = met.filter("low is null").select("p", "x", "shift", F.explode("cs").alias("c")).union(first.filter("c is not null").select("p", "x", "shift", "c"))
+    rest = rest.select(F.explode(F.array(F.struct("x", "c"), F.struct(F.col("p").alias("x"), (F.col("c") + F.col("shift")).cast("int").alias("c")))).alias("end")).select("end.*")
     rest = rest.groupBy("x").agg(F.collect_set("c").alias("cs"))  # at most the shingles of a text
     texts_ = whole.withColumnRenamed("text_key", "x")
     blocks = rest.join(texts_, "x").select("x", "cs", "text").mapInArrow(_blocks, _WINDOW)

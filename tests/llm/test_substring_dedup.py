@@ -73,6 +73,17 @@ def test_common_lines_do_not_hide_longer_repeats(spark):
     assert {r.doc_id for r in found} == {25, 26, 27, 28, 29, 30}
 
 
+def test_repeats_within_the_first_text_of_a_list(spark):
+    rng = random.Random(21)
+    texts = []
+    for _ in range(8):
+        passage = sentence(rng, 56).split()
+        quote, whole = " ".join(passage[5:51]), " ".join(passage)
+        texts += [" ".join([sentence(rng, 60), quote, sentence(rng, 60), whole, sentence(rng, 60), whole]), sentence(rng, 50) + " " + whole + " " + sentence(rng, 50)]
+    rows = [(i, t, "en", "s", 0) for i, t in enumerate(texts)]
+    check(rows, sd.repeated_passages(spark.createDataFrame(rows, odd_docs(spark).schema)).collect())
+
+
 def test_runs_of_one_word(spark):
     rng = random.Random(12)
     runs = [("the " * n).split() for n in (49, 60, 90, 300)]
