@@ -18,8 +18,6 @@ WIDTH, PASSAGE, HASHES, ENOUGH = 5, 50, 4, 2
 SPAN = PASSAGE - WIDTH + 1
 #: Similarity of 80%: of a passage's shingles 8 in 9 lie in both (8 / (2 * 9 - 8) = 0.8).
 MISS = 8
-#: Second round: words of the blocks around an anchor, and the steps of their start.
-CONTEXT, STEP = 41, 9
 
 _HASH = Hasher()
 _ODD = np.random.default_rng(65537).integers(1, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -219,7 +217,7 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The same rows in batches that end where a group (p, x, shift) ends."""
+    """The same rows in batches that end where a group of equal first three columns, like (p, x, shift), ends."""
     rest: list[pa.RecordBatch] = []
     for batch in batches:
         if not batch.num_rows:
@@ -286,11 +284,11 @@ def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in (0, 1, 2, 3, 5)), pa.array(parts, pa.binary())], names=["p", "x", "shift", "low", "cs", "part"])
 
 
-_FOUND = "x long, p long, x_start int, x_end int, p_start int, c int, shift long"
+_FOUND = "x long, p long, x_start int, x_end int, p_start int, c int, shift long, tied boolean"
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Passages along each (p, x, shift, low, cs, part of x, text of p), or the anchors that lie in none."""
+    """Passages along each (p, x, shift, low, cs, part of x, text of p), and the anchors, ``tied`` if they lie in one."""
     last, own = None, None
     for batch in batches:
         data, offsets = texts(batch.column(6))
@@ -299,28 +297,80 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if p != last:
                 last, own = p, _words32(data, offsets, i)
             found = [(low + s, low + e, q) for s, e, q in passages(own, np.frombuffer(part, np.uint32), [shift + low])]
-            rows += [(x, p, s, e, q, None, shift) for s, e, q in found]
-            rows += [(x, p, None, None, None, c, shift) for c in cs if not any(s <= c and c + WIDTH <= e for s, e, _ in found)]
-        types = (pa.int64(), pa.int64(), *[pa.int32()] * 4, pa.int64())
-        columns = list(zip(*rows, strict=True)) if rows else [[]] * 7
-        yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(columns, types, strict=True)], names=["x", "p", "x_start", "x_end", "p_start", "c", "shift"])
+            rows += [(x, p, s, e, q, None, shift, None) for s, e, q in found]
+            rows += [(x, p, None, None, None, c, shift, any(s <= c and c + WIDTH <= e for s, e, _ in found)) for c in cs]
+        types = (pa.int64(), pa.int64(), *[pa.int32()] * 4, pa.int64(), pa.bool_())
+        columns = list(zip(*rows, strict=True)) if rows else [[]] * 8
+        yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(columns, types, strict=True)], names=["x", "p", "x_start", "x_end", "p_start", "c", "shift", "tied"])
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Window rows of the blocks of ``CONTEXT`` words around the anchors of (x, cs, text)."""
+_CONTEXTS = "list long, x long, c int, tied boolean, context binary"
+
+
+def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The ``PASSAGE`` words on either side of the anchors of (x, cs, tied, text), as 16-bit hashes, and the hash of the anchor's shingle."""
     for batch in batches:
-        data, offsets = texts(batch.column(2))
-        keys, names, places = [], [], []
-        for i, (x, cs) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
+        data, offsets = texts(batch.column(3))
+        columns: list[list] = [[], [], [], [], []]
+        for i, (x, cs, tied) in enumerate(zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True)):
             words = _HASH.rows(data, offsets[i : i + 2])[0]
-            starts = sorted({c - back for c in cs for back in range(0, CONTEXT - WIDTH + 1, STEP) if 0 <= c - back <= len(words) - CONTEXT})
-            if starts:
-                keys.append(windows(words, np.array([0, len(words)]), CONTEXT)[0][starts].view(np.int64))
-                names.append(np.full(len(starts), x, np.int64))
-                at = np.array(starts, np.int64)
-                places.append(pack(at, np.zeros_like(at), np.full_like(at, len(words) - WIDTH), 0))
-        none = [np.zeros(0, np.int64)]
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(v or none)) for v in (keys, names, places)], names=["key", "text_key", "window"])
+            # 0 stands outside of a text
+            short = np.pad(np.maximum(words >> np.uint64(48), np.uint64(1)).astype(np.uint16), (PASSAGE, PASSAGE))
+            lists = windows(words, np.array([0, len(words)]), WIDTH)[0].view(np.int64)[cs].tolist()
+            for column, values in zip(columns, (lists, [x] * len(cs), cs, tied, [short[c : c + 2 * PASSAGE + WIDTH].tobytes() for c in cs]), strict=True):
+                column += values
+        types = (pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(columns, types, strict=True)], names=["list", "x", "c", "tied", "context"])
+
+
+def likeness(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of rows of contexts: the most common shingles of a passage around the anchor, and the common ones up to it and from it on."""
+    same = (a == b) & (a != 0)
+    common = same[:, : 1 - WIDTH].copy()
+    for k in range(1, WIDTH):
+        common &= same[:, k : common.shape[1] + k]
+    sums = np.zeros((len(a), common.shape[1] + 1), np.int16)
+    np.cumsum(common, axis=1, out=sums[:, 1:])
+    at = np.arange(PASSAGE - SPAN + 1, PASSAGE + 1)
+    return (sums[:, at + SPAN] - sums[:, at]).max(1), sums[:, PASSAGE + 1], sums[:, -1] - sums[:, PASSAGE]
+
+
+#: Contexts of a block of a list, pairs compared at a time, and the common shingles of ``SPAN`` that make a pair a candidate.
+BLOCK, AT_ONCE, ALIKE = 1000, 1 << 13, 36
+_NEAREST = "p long, x long, shift long, c int"
+
+
+def _nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From rows (list, i, j, side, x, c, context) in order of the first four: for each context of side 0 those of side 1 that are most like it."""
+    for batch in _grouped(batches):
+        name, i, j, side, text, c = (batch.column(k).to_numpy() for k in range(6))
+        context = np.frombuffer(b"".join(batch.column(6).to_pylist()), np.uint16).reshape(batch.num_rows, -1)
+        new = np.concatenate([[True], (name[1:] != name[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])])
+        block = np.cumsum(new)
+        ring, others = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        begin, end = (np.searchsorted(block[others], block[ring], side_) for side_ in ("left", "right"))
+        sums = np.concatenate([[0], np.cumsum(end - begin)])
+        at = 0
+        while at < len(ring):
+            stop = max(at + 1, int(np.searchsorted(sums, sums[at] + AT_ONCE, "right")) - 1)
+            n = (end - begin)[at:stop]
+            x = np.repeat(ring[at:stop], n)
+            p = others[np.arange(len(x)) + np.repeat(begin[at:stop] - sums[at:stop] + sums[at], n)]
+            at = stop
+            apart = text[x] != text[p]
+            x, p = x[apart], p[apart]
+            most, *sides = likeness(context[x], context[p])
+            fits = most >= ALIKE
+            if not fits.any():
+                continue
+            x, p, ranks = x[fits], p[fits], (most[fits], *(v[fits] for v in sides))
+            picked = []
+            for rank in ranks:
+                order = np.lexsort((-rank, x))
+                picked.append(order[np.concatenate([[True], x[order][1:] != x[order][:-1]])])
+            best = np.unique(np.concatenate(picked))
+            x, p = x[best], p[best]
+            yield pa.RecordBatch.from_arrays([pa.array(v) for v in (text[p], text[x], c[p].astype(np.int64) - c[x], c[x])], names=["p", "x", "shift", "c"])
 
 
 def _wanted(shared):
@@ -343,9 +393,10 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     they have 50 words.
 
     Every posting list of windows with one minimal shingle compares its texts with all
-    windows of the first of them, which is linear in the number of its texts. Where that finds nothing, blocks of
-    41 words around the shingle make lists of a second round, so texts that share more
-    with each other than with the first are found too.
+    windows of the first of them, which is linear in the number of its texts. Shingles for
+    which that finds nothing are compared, with the words around them, with the rest of
+    their list in blocks, so texts that share more with each other than with the first
+    are found too.
 
     Null and short texts have no passage; null ids and repeated rows are documents of
     their own. Repeats inside one document alone are not reported. An empty table gives an
@@ -360,14 +411,11 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     met = stored(pairs.repartition(n, "p", "x").sortWithinPartitions("p", "x", "shift", "x_window").mapInArrow(_meet, _MET), "met")
     whole = _whole_texts(rows, met.select(F.explode(F.array("p", "x")).alias("text_key")))
     first = stored(_verified(met.filter("low is not null"), whole), "passages")
-    # second round: anchors that lie in no passage found, of lists with further texts
-    rest = met.filter("low is null").select("p", "x", "shift", F.explode("cs").alias("c")).union(first.filter("c is not null").select("p", "x", "shift", "c"))
-    rest = rest.select(F.explode(F.array(F.struct("x", "c"), F.struct(F.col("p").alias("x"), (F.col("c") + F.col("shift")).cast("int").alias("c")))).alias("end")).select("end.*")
-    rest = rest.groupBy("x").agg(F.collect_set("c").alias("cs"))  # at most the shingles of a text
-    texts_ = whole.withColumnRenamed("text_key", "x")
-    blocks = rest.join(texts_, "x").select("x", "cs", "text").mapInArrow(_blocks, _WINDOW)
-    again = star(blocks).groupBy("p", "x", "shift").agg(F.lit(0).alias("low"), F.max(F.shiftright("x_window", _FUNCTION + 2 * _REACH) + F.shiftright("x_window", _FUNCTION).bitwiseAND(F.lit((1 << _REACH) - 1)) + WIDTH).cast("int").alias("high"), F.array().cast("array<int>").alias("cs"))
-    second = _verified(again.select("p", "x", "shift", "low", "high", "cs"), whole)
+    # second round: anchors that lie in no passage found against all of their lists
+    again = _untied(met, first, whole).groupBy("p", "x", "shift").agg(F.collect_set("c").alias("cs"))  # at most the shingles of a text
+    high = F.least(F.array_max("cs").cast("long") + (1 << _REACH), F.lit((1 << 31) - 1)).cast("int")
+    low = F.greatest(F.array_min("cs") - (1 << _REACH), F.lit(0))
+    second = _verified(again.select("p", "x", "shift", low.alias("low"), high.alias("high"), "cs"), whole)
     found = stored(first.filter("c is null").unionByName(second.filter("c is null")).select("x", "p", "x_start", "x_end", "p_start"), "found")
     sides = found.select(F.col("x").alias("text_key"), F.col("x_start").alias("start_word"), F.col("x_end").alias("end_word"), F.col("p").alias("other"), F.col("p_start").alias("other_start"))
     sides = sides.unionByName(found.select(F.col("p").alias("text_key"), F.col("p_start").alias("start_word"), (F.col("p_start") + F.col("x_end") - F.col("x_start")).alias("end_word"), F.col("x").alias("other"), F.col("x_start").alias("other_start")))
@@ -375,6 +423,38 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     return _by_document(docs, spans, id_col, text_col)
 
 
+def _untied(met: DataFrame, first: DataFrame, whole: DataFrame) -> DataFrame:
+    """(p, x, shift, c): anchors of the lists that their first text does not tie together, each with those most like it.
+
+    Equal contexts are one class, and classes are compared in blocks of bounded size, the
+    untied ones with all of their list.
+    """
+    n = partitions(met.sparkSession)
+    posts = met.filter("low is null").select("p", "x", "shift", F.explode("cs").alias("c"), F.lit(False).alias("tied"))
+    posts = posts.unionByName(first.filter("c is not null").select("p", "x", "shift", "c", "tied")).withColumn("at", (F.col("c") + F.col("shift")).cast("int"))
+    posts = stored(posts.select("p", "at", "x", "c", "tied"), "posts")
+    posts = posts.join(posts.filter("not tied").select("p", "at").distinct(), ["p", "at"])
+    ends = posts.select(F.explode(F.array(F.struct("x", "c", "tied"), F.struct(F.col("p").alias("x"), F.col("at").alias("c"), "tied"))).alias("end")).select("end.*")
+    ends = ends.groupBy("x", "c").agg(F.max("tied").alias("tied"))
+    ends = ends.groupBy("x").agg(F.collect_list(F.struct("c", "tied")).alias("ends"))  # at most the shingles of a text
+    rows = ends.join(whole.withColumnRenamed("text_key", "x"), "x").select("x", F.col("ends.c").alias("cs"), F.col("ends.tied").alias("tied"), "text")
+    rows = stored(rows.mapInArrow(_contexts, _CONTEXTS).withColumn("cls", F.xxhash64("context")), "contexts")
+    classes = rows.groupBy("list", "cls").agg(F.min(F.struct("x", "c")).alias("one"), F.min("tied").alias("tied"), F.first("context").alias("context"))
+    classes = stored(classes, "classes")
+    sizes = classes.groupBy("list").agg(F.count(F.lit(1)).alias("every"), F.count_if(~F.col("tied")).alias("free")).filter("every > 1 and free > 0")
+    blocks = lambda size: F.ceil(F.col(size) / BLOCK).cast("int")
+    dealt = classes.join(sizes.select("list", blocks("every").alias("nb"), blocks("free").alias("nr")), "list")
+    slot = lambda size: F.pmod(F.col("cls"), F.col(size)).cast("int")
+    upto = lambda size: F.sequence(F.lit(0), F.col(size) - 1)
+    ring = dealt.filter("not tied").select("list", slot("nr").alias("i"), F.explode(upto("nb")).alias("j"), F.lit(0).alias("side"), "one.*", "context")
+    others = dealt.select("list", F.explode(upto("nr")).alias("i"), slot("nb").alias("j"), F.lit(1).alias("side"), "one.*", "context")
+    order = ["list", "i", "j", "side"]
+    near = ring.unionByName(others).repartition(n, "list", "i", "j").sortWithinPartitions(*order).mapInArrow(_nearest, _NEAREST)
+    # untied anchors of one class: against the first of it
+    twins = rows.filter("not tied").select("list", "cls", "x", "c").join(classes.select("list", "cls", "one"), ["list", "cls"]).filter("x <> one.x")
+    return near.unionByName(twins.select(F.col("one.x").alias("p"), "x", (F.col("one.c") - F.col("c")).cast("long").alias("shift"), "c"))
+
+
 def _whole_texts(rows: DataFrame, keys: DataFrame) -> DataFrame:
     """(text_key, text) of the texts that take part, one of each."""
     keys = stored(keys.distinct(), "text-keys")

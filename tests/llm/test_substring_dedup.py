@@ -73,6 +73,22 @@ def test_common_lines_do_not_hide_longer_repeats(spark):
     assert {r.doc_id for r in found} == {25, 26, 27, 28, 29, 30}
 
 
+def test_near_copies_that_are_unlike_the_first_text_of_their_list(spark):
+    rng = random.Random(22)
+    texts, near = [], []
+    for _ in range(6):
+        passage = sentence(rng, 60).split()
+        x = [w if i not in (13, 46) else f"changed{i}" for i, w in enumerate(passage)]
+        y = [w if i != 29 else "middle" for i, w in enumerate(x)]
+        texts += [sentence(rng, 40) + " " + " ".join(passage) + " " + sentence(rng, 40) for _ in range(8)]
+        near += [len(texts), len(texts) + 1]
+        texts += [sentence(rng, 40) + " " + " ".join(w) + " " + sentence(rng, 40) for w in (x, y)]
+    found = sd.repeated_passages(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    check(list(enumerate(texts)), found)
+    hit = {(r.doc_id, r.partner_id) for r in found}
+    assert sum((a, b) in hit or (b, a) in hit for a, b in zip(near[::2], near[1::2], strict=True)) >= 5
+
+
 def test_repeats_within_the_first_text_of_a_list(spark):
     rng = random.Random(21)
     texts = []
