@@ -19,7 +19,6 @@ MAGIC = b"\x1f\x8b\x08"
 REVISIT_FROM = 1000
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-HEAD_MOST = 1 << 16
 _NAMESPACE = uuid.UUID("6f6d2c34-2f0e-4c0e-9d3f-2a5a1c7b9e11")
 
 
@@ -137,19 +136,19 @@ def members(read: Callable[[int, int], bytes], size: int, start: int, end: int,
         if at >= end:
             return
         unpack, fed, out, good = zlib.decompressobj(31), at, [], False
-        total = 0
+        head = bytearray()
         try:
             while not unpack.eof and fed < size:
                 upto(fed + 1)
                 piece = held[fed - base : fed - base + step]
                 out.append(unpack.decompress(piece))
                 fed += len(piece)
-                total += len(out[-1])
                 if not good:
-                    head = b"".join(out)
-                    good = head.startswith(b"WARC/") and b"\r\n\r\n" in head
-                    if not good and (total >= HEAD_MOST or (total >= 5 and not head.startswith(b"WARC/"))):
+                    seen = len(head)
+                    head += out[-1]
+                    if not head.startswith(b"WARC/"[: len(head)]):
                         break
+                    good = head.find(b"\r\n\r\n", max(0, seen - 3)) >= 0
         except zlib.error:
             good = False
         if good and unpack.eof:

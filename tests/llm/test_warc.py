@@ -3,6 +3,7 @@ from __future__ import annotations
 import gzip
 import hashlib
 import os
+import random
 
 import pytest
 
@@ -73,3 +74,12 @@ def test_query(spark, sf):
 
     rows = [tuple(r) for r in spark.read.parquet(f"{sf}/pages.parquet").select("page_id", "url", "html").collect()]
     assert digest(QUERIES["op1_warc"](spark, sf)) == expected(rows)
+
+
+def test_headers_longer_than_a_read_piece_are_kept():
+    rng = random.Random(3)
+    urls = ["http://a.org/" + "".join(rng.choice("0123456789abcdefghijklmnopqrstuvwxyz") for _ in range(n)) for n in (10, 60_000, 200_000, 1_000_000, 20)]
+    data = b"".join(warc.encode_record(i, u, b"page", hashlib.sha1(b"page").hexdigest(), None) for i, u in enumerate(urls))
+    for step in (1 << 10, 1 << 16):
+        found = [warc.parse_record(r) for _, r in warc.members(lambda at, n: data[at : at + n], len(data), 0, len(data), step)]
+        assert [r["target_uri"] for r in found] == urls
