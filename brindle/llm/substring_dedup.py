@@ -21,7 +21,6 @@ MISS = 8
 
 _HASH = Hasher()
 _ODD = np.random.default_rng(65537).integers(1, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_LOW = np.uint64((1 << 24) - 1)
 
 
 def compact_windows(values: np.ndarray, borders: np.ndarray, span: int = SPAN) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -37,7 +36,8 @@ def compact_windows(values: np.ndarray, borders: np.ndarray, span: int = SPAN) -
     none = np.zeros(0, np.int64)
     if n < span:
         return none, none, none
-    packed = (values & ~_LOW) | np.arange(n, dtype=np.uint64)
+    places_only = np.uint64((1 << max(24, n.bit_length())) - 1)
+    packed = (values & ~places_only) | np.arange(n, dtype=np.uint64)
     least, width = packed, 1
     while 2 * width <= span:
         least = np.minimum(least[:-width], least[width:])
@@ -45,7 +45,7 @@ def compact_windows(values: np.ndarray, borders: np.ndarray, span: int = SPAN) -
     if width < span:
         least = np.minimum(least[: n - span + 1], least[span - width : n - width + 1])
     owner = np.repeat(np.arange(len(borders) - 1), np.diff(borders))
-    at = (least[owner[: n - span + 1] == owner[span - 1 :]] & _LOW).astype(np.int64)
+    at = (least[owner[: n - span + 1] == owner[span - 1 :]] & places_only).astype(np.int64)
     centres = at[np.concatenate([[True], at[1:] != at[:-1]])] if len(at) else at
     left, right = borders[owner[centres]].tolist(), (borders[owner[centres] + 1] - 1).tolist()
     stack: list[int] = []  # the rightmost path of the tree
@@ -62,7 +62,7 @@ def compact_windows(values: np.ndarray, borders: np.ndarray, span: int = SPAN) -
 
 
 #: A window in one long: place of the centre, reach to the left and right (longer reaches are cut), hash function.
-_PLACE, _REACH, _FUNCTION = 24, 18, 3
+_PLACE, _REACH, _FUNCTION = 31, 15, 2
 _WINDOW = "key long, text_key long, window long"
 
 
@@ -85,8 +85,6 @@ def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys = batch.column(0).to_numpy()
         data, offsets = texts(batch.column(1))
         for lo, hi in slices(offsets):
-            if offsets[hi] - offsets[lo] >= 1 << 25:
-                raise ValueError("a text of 32 MB or more; cut it before this operator")
             hashes, _, words = _HASH.rows(data, offsets[lo : hi + 1])
             shingles, borders = windows(hashes, words, WIDTH)
             owner = np.repeat(np.arange(hi - lo), np.diff(borders))
@@ -400,7 +398,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     Null and short texts have no passage; null ids and repeated rows are documents of
     their own. Repeats inside one document alone are not reported. An empty table gives an
-    empty result; other columns are ignored. A single text of 32 MB or more is an error.
+    empty result; other columns are ignored.
     """
     spark = docs.sparkSession
     n = partitions(spark)

@@ -4,6 +4,7 @@ import random
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from brindle.llm import substring_dedup as sd
@@ -128,6 +129,21 @@ def test_empty_table_and_query(spark, sf):
     check(rows, QUERIES["op5_substring_dedup"](spark, sf).collect())
 
 
+def test_texts_of_32_mb_and_more():
+    c = np.array([0, 1 << 24, (1 << 31) - 1])
+    for f in range(sd.HASHES):
+        got = sd.unpack(sd.pack(c, np.maximum(c - 7, 0), c + 60, f))
+        assert [x.tolist() for x in got[:3]] == [c.tolist(), np.maximum(c - 7, 0).tolist(), (c + 60).tolist()] and set(got[3].tolist()) == {f}
+    passage = sentence(random.Random(9), 80)
+    long = " ".join(map(str, np.random.default_rng(9).integers(10**8, 10**9, 3_400_000).tolist())) + " " + passage
+    assert len(long) >= 1 << 25
+    batch = pa.RecordBatch.from_pydict({"text_key": [1, 2], "text": [long.encode(), passage.encode()]})
+    made = pa.Table.from_batches(sd._window_rows([batch]))
+    key, text, window = (made.column(k).to_numpy() for k in range(3))
+    ends = {int(x) for x in key[(text == 1) & (sd.unpack(window)[0] >= 3_400_000)]}
+    assert len(ends & set(key[text == 2].tolist())) >= sd.HASHES
+
+
 @pytest.mark.parametrize("gap,want", [(0, 1), (4, 1), (40, 2)])
 def test_passages_join_over_small_gaps(gap, want):
     rng = np.random.default_rng(5)
