@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from brindle.functions.vectors import METRICS, as_array, score
 
 NLIST, NPROBE, SAMPLE, ITERATIONS = 32, 4, 10_000, 20
+#: Least mean recall, and the keys it is measured on: those divisible by EVERY, at most QUERIES of them by hash.
+RECALL, EVERY, QUERIES = 0.9, 20, 500
 
 
 def top_k(df: DataFrame, query: Sequence[float], k: int, key: str, vector: str, metric: str = "euclidean") -> DataFrame:
@@ -114,11 +116,15 @@ def _assign(centroids: np.ndarray):
 
 @dataclass
 class IVFIndex:
-    """Vectors dealt to their nearest centroid; a search reads the ``nprobe`` lists best for the query."""
+    """Vectors dealt to their nearest centroid; a search reads the ``nprobe`` lists best for the query.
+
+    Where it is not given, ``nprobe`` is the least from ``NPROBE`` on with a measured mean recall of ``RECALL``.
+    """
 
     lists: DataFrame  # key, vector, list_id
     centroids: list[list[float]]
     key: str
+    measured: dict = field(default_factory=dict)
 
     @classmethod
     def build(cls, df: DataFrame, key: str, vector: str, nlist: int = NLIST, sample: int = SAMPLE, iterations: int = ITERATIONS, seed: int = 0, centroids: Sequence[Sequence[float]] | None = None) -> IVFIndex:
@@ -140,7 +146,32 @@ class IVFIndex:
         s = np.round(_numpy_scores(np.array(self.centroids), np.array([query], np.float64), metric)[:, 0], 9)
         return [int(i) for i in np.lexsort((np.arange(len(s)), -s))[: min(nprobe, len(s))]]
 
-    def top_k(self, query: Sequence[float], k: int, metric: str = "euclidean", nprobe: int = NPROBE) -> DataFrame:
+    def recalls(self, k: int, metric: str = "euclidean") -> np.ndarray:
+        """Mean recall of the best k for 1, 2 ... lists probed, over keys divisible by ``EVERY`` against all rows."""
+        if (k, metric) not in self.measured:
+            some = self.lists.filter(F.col("key") % EVERY == 0).orderBy(F.xxhash64("key"), "key").limit(QUERIES)
+            queries = {r["key"]: list(r["vector"]) for r in some.select("key", "vector").collect()}
+            if not queries:
+                return np.ones(len(self.centroids))
+            asked = self.lists.sparkSession.createDataFrame(list(queries.items()), "qid long, v array<double>")
+            best = top_k_batch(self.lists, asked, k, "key", "vector", "qid", "v", metric)
+            found = best.join(self.lists.select("key", "list_id"), "key").groupBy("query_id").agg(F.collect_list("list_id").alias("ids")).collect()
+            shares = []
+            for q, ids in found:
+                order = np.argsort(self.probes(queries[q], metric, len(self.centroids)))
+                shares.append(np.bincount(order[ids], minlength=len(order)).cumsum() / len(ids))
+            self.measured[k, metric] = np.mean(shares, axis=0)
+        return self.measured[k, metric]
+
+    def enough(self, k: int, metric: str = "euclidean", least: int = NPROBE) -> int:
+        """The least number of lists, from ``least`` on, whose measured recall is ``RECALL``."""
+        if least >= len(self.centroids):
+            return least
+        good = np.flatnonzero(self.recalls(k, metric) >= RECALL - 1e-9) + 1
+        return int(max(least, good[0]))
+
+    def top_k(self, query: Sequence[float], k: int, metric: str = "euclidean", nprobe: int | None = None) -> DataFrame:
+        nprobe = self.enough(k, metric) if nprobe is None else nprobe
         near = self.lists.filter(F.col("list_id").isin(self.probes(query, metric, nprobe)))
         return top_k(near, query, k, "key", "vector", metric).withColumnRenamed("key", self.key)
 

@@ -388,7 +388,8 @@ def vec_ivf_fixed_centroids(spark, d):
 @query()
 def vec_ivf_trained(spark, d):
     """Trained centroids depend on arithmetic order, so rows only."""
-    return IVFIndex.build(load(spark, d, "embeddings"), "vec_id", "embedding").top_k(_first_vector(spark, d), 10, nprobe=8)
+    index = IVFIndex.build(load(spark, d, "embeddings"), "vec_id", "embedding")
+    return index.top_k(_first_vector(spark, d), 10, nprobe=index.enough(10, least=8))
 
 
 @query(f"with {_LISTS}, qs as (select vec_id as query_id, embedding::double[] as q from embeddings where vec_id < 5), probe as (select query_id, i from (select query_id, i, row_number() over (partition by query_id order by round(list_distance(c, q), 9), i) as r from c, qs) where r <= 4), ann as (select query_id, vec_id from (select query_id, vec_id, row_number() over (partition by query_id order by round(list_distance(embedding::double[], q), 9), vec_id) as r from lists join probe on list_id = i join qs using (query_id)) where r <= 10), exact as (select query_id, vec_id from (select query_id, vec_id, row_number() over (partition by query_id order by round(list_distance(embedding::double[], q), 9), vec_id) as r from embeddings, qs) where r <= 10) select query_id, count(ann.vec_id) / 10.0::double as recall from exact left join ann using (query_id, vec_id) group by 1")

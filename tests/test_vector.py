@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from brindle.operators import bow
 from brindle.operators.vector import IVFIndex, graph_top_k, kmeans, random_vectors, recall_at_k, top_k, top_k_batch
@@ -76,3 +77,18 @@ def test_bag_of_words(spark):
     vectors = bow.dense(bow.tfidf_vectors(counts, bow.smoothed_idf(counts, "id"), "id"), "id", 3)
     got = {r.id: r.vector for r in vectors.collect()}
     assert got["b"] == [0.0, 0.0, 1.0] and np.linalg.norm(got["a"]) == pytest.approx(1) and got["a"][0] == pytest.approx(2 * got["a"][1])
+
+
+def test_ivf_probes_enough_lists(spark):
+    df = random_vectors(spark, 2000, 16, seed=4).select("id", F.col("vector").alias("v")).cache()
+    rows = np.array([r[0] for r in df.orderBy("id").select("v").collect()], float)
+    index = IVFIndex.build(df, "id", "v")
+    owner = {r[0]: r[1] for r in index.lists.select("key", "list_id").collect()}
+    nprobe = index.enough(10)
+    hits = []
+    for q in range(0, 2000, 20):
+        exact = np.lexsort((np.arange(2000), ((rows - rows[q]) ** 2).sum(1)))[:10]
+        probed = set(index.probes(rows[q].tolist(), "euclidean", nprobe))
+        hits.append(np.mean([owner[int(i)] in probed for i in exact]))
+    assert np.mean(hits) >= 0.9 and nprobe > 8
+    assert index.top_k(rows[20].tolist(), 10).count() == 10
