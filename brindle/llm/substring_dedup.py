@@ -2,25 +2,57 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+from .components import components
 from .near_dedup import _bitmap, _text_key
 from .runtime import partitions, stored
 from .words import Hasher, mix, slices, texts, windows
 
-#: Words of a shingle, least words of a passage, hash functions, and how many must agree.
+#: Words of a shingle, least words of a passage, hash functions, and how many must meet.
 WIDTH, PASSAGE, HASHES, ENOUGH = 5, 50, 4, 2
 SPAN = PASSAGE - WIDTH + 1
-#: Similarity of 80%: of a passage's shingles 8 in 9 lie in both (8 / (2 * 9 - 8) = 0.8).
-MISS = 8
+#: Functions whose lists are compared: of any two that meet one is among them.
+LISTED = HASHES - ENOUGH + 1
+#: Words that a passage may have before its anchor, and words of an anchor's context.
+REACH = SPAN - 1
+CONTEXT = REACH + PASSAGE
+#: Least similarity of 80%: a common shingle outweighs a quarter of one that only one side has.
+MISS = 4
+#: Common shingles of ``SPAN`` that make a pair of contexts a candidate, and how far a passage may drift by inserted or deleted words.
+ALIKE, DRIFT, JUMP = 36, 2, 5
+#: Groups of context words that a seed may leave out, words of a block of a group, words of a band beside the anchor.
+GROUPS, BLOCK, BAND = 4, 3, 15
+#: Anchors compared at a time; lists with more are dealt out by seed. Pairs of contexts looked at in one go.
+BATCH, LIST, AT_ONCE = 1 << 14, 1 << 15, 1 << 13
 
 _HASH = Hasher()
 _ODD = np.random.default_rng(65537).integers(1, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_PLACES = np.random.default_rng(271828).integers(1, 1 << 63, CONTEXT, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def _least(values: np.ndarray, borders: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(values with their places as low bits, text of each place, places that are the least of some ``span`` in a row)."""
+    n = len(values)
+    owner = np.repeat(np.arange(len(borders) - 1), np.diff(borders))
+    if n < span:
+        return values, owner, np.zeros(0, np.int64)
+    places = np.uint64((1 << max(24, n.bit_length())) - 1)
+    packed = (values & ~places) | np.arange(n, dtype=np.uint64)
+    least, width = packed, 1
+    while 2 * width <= span:
+        least = np.minimum(least[:-width], least[width:])
+        width *= 2
+    if width < span:
+        least = np.minimum(least[: n - span + 1], least[span - width : n - width + 1])
+    at = (least[owner[: n - span + 1] == owner[span - 1 :]] & places).astype(np.int64)
+    return packed, owner, at[np.concatenate([[True], at[1:] != at[:-1]])] if len(at) else at
 
 
 def compact_windows(values: np.ndarray, borders: np.ndarray, span: int = SPAN) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -32,21 +64,7 @@ def compact_windows(values: np.ndarray, borders: np.ndarray, span: int = SPAN) -
     the Cartesian tree over those centres (the nearest smaller place on either side of a
     centre is a centre itself). Equal values: the first is the smaller.
     """
-    n = len(values)
-    none = np.zeros(0, np.int64)
-    if n < span:
-        return none, none, none
-    places_only = np.uint64((1 << max(24, n.bit_length())) - 1)
-    packed = (values & ~places_only) | np.arange(n, dtype=np.uint64)
-    least, width = packed, 1
-    while 2 * width <= span:
-        least = np.minimum(least[:-width], least[width:])
-        width *= 2
-    if width < span:
-        least = np.minimum(least[: n - span + 1], least[span - width : n - width + 1])
-    owner = np.repeat(np.arange(len(borders) - 1), np.diff(borders))
-    at = (least[owner[: n - span + 1] == owner[span - 1 :]] & places_only).astype(np.int64)
-    centres = at[np.concatenate([[True], at[1:] != at[:-1]])] if len(at) else at
+    packed, owner, centres = _least(values, borders, span)
     left, right = borders[owner[centres]].tolist(), (borders[owner[centres] + 1] - 1).tolist()
     stack: list[int] = []  # the rightmost path of the tree
     keys, places, texts_ = packed[centres].tolist(), centres.tolist(), owner[centres].tolist()
@@ -61,314 +79,350 @@ def compact_windows(values: np.ndarray, borders: np.ndarray, span: int = SPAN) -
     return np.array(left, np.int64), centres, np.array(right, np.int64)
 
 
-#: A window in one long: place of the centre, reach to the left and right (longer reaches are cut), hash function.
-_PLACE, _REACH, _FUNCTION = 31, 15, 2
-_WINDOW = "key long, text_key long, window long"
-
+def _list_key(values: np.ndarray, f: int) -> np.ndarray:
+    """The posting list of a function's minimal shingle; the lowest bit is free for a mark."""
+    return (mix(values + np.uint64(f)) & ~np.uint64(1)).view(np.int64)
 
-def pack(c: np.ndarray, left: np.ndarray, right: np.ndarray, f: int) -> np.ndarray:
-    most = (1 << _REACH) - 1
-    return (((c << _REACH | np.minimum(c - left, most)) << _REACH | np.minimum(right - c, most)) << _FUNCTION) | f
 
+_POST = "key long, text_key long, times long"
 
-def unpack(w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(c, l, r, f)"""
-    most = (1 << _REACH) - 1
-    f, w = w & ((1 << _FUNCTION) - 1), w >> _FUNCTION
-    right, w = w & most, w >> _REACH
-    c = w >> _REACH
-    return c, c - (w & most), c + right, f
 
-
-def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _posts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The posting lists that the windows of each (text_key, text) belong to; windows that follow with the same list are one row."""
     for batch in batches:
-        keys = batch.column(0).to_numpy()
+        names = batch.column(0).to_numpy()
         data, offsets = texts(batch.column(1))
         for lo, hi in slices(offsets):
             hashes, _, words = _HASH.rows(data, offsets[lo : hi + 1])
             shingles, borders = windows(hashes, words, WIDTH)
-            owner = np.repeat(np.arange(hi - lo), np.diff(borders))
             made = []
             for f in range(HASHES):
                 values = mix(shingles * _ODD[f])
-                left, c, right = compact_windows(values, borders)
-                base = borders[owner[c]]
-                made.append((mix(values[c] + np.uint64(f)).view(np.int64), keys[lo:hi][owner[c]], pack(c - base, left - base, right - base, f)))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(v)) for v in zip(*made, strict=True)], names=["key", "text_key", "window"])
+                _, owner, c = _least(values, borders, SPAN)
+                key, of = _list_key(values[c], f), owner[c]
+                first = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (of[1:] != of[:-1])])) if len(c) else c
+                made.append((key[first], names[lo:hi][of[first]], np.diff(np.append(first, len(key)))))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(v)) for v in zip(*made, strict=True)], names=["key", "text_key", "times"])
 
 
-_PAIR = "p long, x long, shift long, p_window long, x_window long, many boolean"
+_ENTRY = "key long, text_key long, c int, context binary"
 
 
-#: More windows of a text in one list than these may be a run: those that follow at equal steps are its tail.
-RUN, PAIRS = 16, 1 << 17
+def _binary(rows: np.ndarray) -> pa.Array:
+    """A binary value for each row of a matrix."""
+    rows = np.ascontiguousarray(rows)
+    ends = np.arange(len(rows) + 1, dtype=np.int32) * np.int32(rows.shape[1] * rows.itemsize)
+    return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(rows.tobytes())])
 
 
-def _tails(group: np.ndarray, c: np.ndarray) -> np.ndarray:
-    """Which windows of a text in a list go on a run of repeated words: at least the third at equal steps below ``PASSAGE``."""
-    out = np.zeros(len(group), bool)
-    if len(group) > 2:
-        step = np.diff(c)
-        out[2:] = (group[2:] == group[:-2]) & (step[1:] == step[:-1]) & (step[1:] < PASSAGE)
-        out &= (np.bincount(group) > RUN)[group]
-    return out
+def _matrix(column: pa.Array) -> np.ndarray:
+    data, offsets = texts(column)
+    return data[offsets[0] : offsets[-1]].view(np.uint16).reshape(len(column), CONTEXT) if len(column) else np.zeros((0, CONTEXT), np.uint16)
 
 
-def _star(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows in order of (key, text_key, window): every window of a posting list against all those of its first text.
+def _anchors(marked: bool) -> Callable:
+    """From (text_key, keys, text): the anchors of shared windows that meet one of another function, with their contexts.
 
-    In a long run of repeated words all places are alike, so the tail of a run meets only
-    windows of the other text that are in no tail. ``many``: the list has more texts than
-    these two, as far as the batch shows it.
-    """
-    last, pivot, own, own_tail = None, None, np.zeros(0, np.int64), np.zeros(0, bool)
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        key, text, window = (batch.column(i).to_numpy() for i in range(3))
-        again = np.zeros(len(key), bool)
-        again[1:] = (key[1:] == key[:-1]) & (text[1:] == text[:-1]) & (window[1:] == window[:-1])
-        again[0] = last == (key[0], text[0], window[0])
-        carried, last = last is not None and last[0] == key[0], (key[-1], text[-1], window[-1])
-        key, text, window = key[~again], text[~again], window[~again]
-        if not len(key):
-            continue
-        new = np.concatenate([[True], key[1:] != key[:-1]])
-        lists = np.cumsum(new) - 1
-        heads = text[new]
-        if carried:
-            heads[0] = pivot
-        else:
-            own, own_tail = own[:0], own_tail[:0]
-        size = np.bincount(lists)
-        size[-1] += 3
-        if carried:
-            size[0] += 3
-        first = text == heads[lists]
-        tail = _tails(np.cumsum(np.concatenate([[True], new[1:] | (text[1:] != text[:-1])])), unpack(window)[0])
-        p_list = np.concatenate([np.zeros(len(own), np.int64), lists[first]])
-        p_window, p_tail = np.concatenate([own, window[first]]), np.concatenate([own_tail, tail[first]])
-        others = np.flatnonzero(~first)
-        for rows, among in ((others, np.flatnonzero(~p_tail)), (others[~tail[others]], np.flatnonzero(p_tail))):
-            begin, end = (np.searchsorted(p_list[among], lists[rows], side) for side in ("left", "right"))
-            sums = np.concatenate([[0], np.cumsum(end - begin)])
-            at = 0
-            while at < len(rows):
-                stop = max(at + 1, int(np.searchsorted(sums, sums[at] + PAIRS, "right")) - 1)
-                n = (end - begin)[at:stop]
-                x = np.repeat(rows[at:stop], n)
-                p = among[np.arange(len(x)) + np.repeat(begin[at:stop] - sums[at:stop] + sums[at], n)]
-                at = stop
-                if len(x):
-                    shift = unpack(p_window[p])[0] - unpack(window[x])[0]
-                    yield pa.RecordBatch.from_arrays([pa.array(v) for v in (heads[lists[x]], text[x], shift, p_window[p], window[x], (size > 2)[lists[x]])], names=["p", "x", "shift", "p_window", "x_window", "many"])
-        pivot, open_ = heads[-1], p_list == lists[-1]
-        own, own_tail = p_window[open_], p_tail[open_]
-
-
-def agreeing(group: np.ndarray, p_window: np.ndarray, x_window: np.ndarray, span: int = SPAN) -> np.ndarray:
-    """Which collisions meet one of another hash function in a common passage: the interval join.
-
-    Rows of one group (a pair of texts and a shift between them) stand together in order of
-    their place. Two of them meet if ``span`` shingles running can hold both centres inside
-    both windows, in either text. With ``ENOUGH`` = 2 one such other is enough; windows with
-    one function do not overlap in their centres, so few rows stand between two that meet.
+    The interval join: a window holds the passages that start in an interval; where such
+    intervals of ``ENOUGH`` functions overlap, the passages share so many minimal shingles
+    with others. The context has the words of these passages as 16-bit hashes around the
+    anchor, 0 beyond them.
     """
-    out = np.zeros(len(group), bool)
-    p, x = unpack(p_window), unpack(x_window)
-    for k in range(1, min(4 * HASHES, len(group))):
-        fits = (group[k:] == group[:-k]) & (x[3][k:] != x[3][:-k])
-        if not (group[k:] == group[:-k]).any():
-            break
-        for c, left, right, _ in (p, x):
-            start, stop = np.maximum(left[k:], left[:-k]), np.minimum(right[k:], right[:-k])
-            fits &= (start <= np.minimum(c[k:], c[:-k])) & (np.maximum(c[k:], c[:-k]) <= stop) & (stop - start + 1 >= span)
-        out[k:] |= fits
-        out[:-k] |= fits
-    return out
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names = batch.column(0).to_numpy()
+            sizes = np.diff(batch.column(1).offsets.to_numpy())
+            flat, begins = batch.column(1).flatten().to_numpy(), np.concatenate([[0], np.cumsum(sizes)])
+            data, offsets = texts(batch.column(2))
+            for lo, hi in slices(offsets):
+                yield from found(names[lo:hi], flat[begins[lo] : begins[hi]], sizes[lo:hi], data, offsets[lo : hi + 1])
+
+    def found(names: np.ndarray, flat: np.ndarray, sizes: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> Iterator[pa.RecordBatch]:
+        hashes, _, words = _HASH.rows(data, offsets)
+        shingles, borders = windows(hashes, words, WIDTH)
+        short = np.maximum(hashes >> np.uint64(48), np.uint64(1)).astype(np.uint16)
+        salt = mix(np.arange(1, len(names) + 1, dtype=np.uint64))
+        wanted = mix((flat.view(np.uint64) & ~np.uint64(1)) ^ np.repeat(salt, sizes))
+        order = np.argsort(wanted)
+        wanted, flat = wanted[order], flat[order]
+        if not len(wanted):
+            return
+        starts, shared = np.zeros(len(shingles) + 1, np.int32), []
+        for f in range(HASHES):
+            values = mix(shingles * _ODD[f])
+            left, c, right = compact_windows(values, borders)
+            of = np.searchsorted(borders, c, "right") - 1
+            probe = mix(_list_key(values[c], f).view(np.uint64) ^ salt[of])
+            at = np.minimum(np.searchsorted(wanted, probe), len(wanted) - 1)
+            hit = wanted[at] == probe
+            low, high = np.maximum(left, c - REACH)[hit], np.minimum(c, right - REACH)[hit]
+            starts[low] += 1
+            starts[high + 1] -= 1
+            if f < LISTED:
+                shared.append((flat[at[hit]], of[hit], c[hit], low, high))
+        enough = np.flatnonzero(np.cumsum(starts[:-1]) >= ENOUGH)
+        key, of, c, low, high = (np.concatenate(v) for v in zip(*shared, strict=True))
+        first, last = np.searchsorted(enough, low), np.searchsorted(enough, high, "right") - 1
+        keep = np.flatnonzero((first <= last) & ((key & 1) == marked))
+        for k in range(0, len(keep), AT_ONCE):
+            some = keep[k : k + AT_ONCE]
+            base = (words[:-1] - borders[:-1])[of[some]]
+            index = (c[some] + base)[:, None] + np.arange(-REACH, PASSAGE)
+            inside = (index >= (enough[first[some]] + base)[:, None]) & (index < (enough[last[some]] + base + PASSAGE)[:, None])
+            context = np.where(inside, short[np.clip(index, 0, len(short) - 1)], np.uint16(0))
+            yield pa.RecordBatch.from_arrays([pa.array(key[some]), pa.array(names[of[some]]), pa.array((c[some] - borders[of[some]]).astype(np.int32)), _binary(context)], names=["key", "text_key", "c", "context"])
 
-#: low, high: the words of x that the windows of the anchors span; both null: anchors of x for the second round only.
-_MET = "p long, x long, shift long, low int, high int, cs array<int>"
-
-
-def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows in order of (p, x, shift, x_window): shifts along which texts meet, and the other anchors of long lists."""
-    for batch in _grouped(batches):
-        p, x, shift, p_window, x_window = (batch.column(i).to_numpy() for i in range(5))
-        many = batch.column(5).to_numpy(zero_copy_only=False)
-        new = np.concatenate([[True], (p[1:] != p[:-1]) | (x[1:] != x[:-1]) | (shift[1:] != shift[:-1])])
-        group = np.cumsum(new)
-        good = agreeing(group, p_window, x_window)
-        c, left, right, _ = unpack(x_window)
-        for strong, keep in ((True, good), (False, ~good & many)):
-            at = np.flatnonzero(keep)
-            if not len(at):
-                continue
-            first = np.concatenate([[True], group[at][1:] != group[at][:-1]])
-            begins = np.flatnonzero(first)
-            low, high = np.minimum.reduceat(left[at], begins), np.maximum.reduceat(right[at], begins) + WIDTH
-            lists = pa.ListArray.from_arrays(pa.array(np.append(begins, len(at)).astype(np.int32)), pa.array(c[at].astype(np.int32)))
-            heads = at[begins]
-            limits = [pa.array(v.astype(np.int32)) if strong else pa.nulls(len(begins), pa.int32()) for v in (low, high)]
-            yield pa.RecordBatch.from_arrays([pa.array(p[heads]), pa.array(x[heads]), pa.array(shift[heads]), *limits, lists], names=["p", "x", "shift", "low", "high", "cs"])
-
-
-def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The same rows in batches that end where a group of equal first three columns, like (p, x, shift), ends."""
-    rest: list[pa.RecordBatch] = []
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        p, x, shift = (batch.column(i).to_numpy() for i in range(3))
-        same = (p == p[-1]) & (x == x[-1]) & (shift == shift[-1])
-        cut = batch.num_rows - int(np.argmin(same[::-1])) if not same.all() else 0
-        if cut:
-            yield pa.Table.from_batches([*rest, batch.slice(0, cut)]).combine_chunks().to_batches()[0]
-            rest = [batch.slice(cut)]
-        else:
-            rest.append(batch)
-    if rest:
-        yield pa.Table.from_batches(rest).combine_chunks().to_batches()[0]
+    return run
 
 
-def passages(a: np.ndarray, b: np.ndarray, shifts: list[int]) -> list[tuple[int, int, int]]:
-    """(start in b, end in b, start in a): runs of words alike along the given shifts (place in a less place in b).
+def seeds(context: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(name, rows, value) of ways to split a list: contexts with one name and value have the same words at chosen places.
 
-    A run has at least ``PASSAGE`` words, begins and ends with a common shingle, and at
-    most one shingle in ``MISS`` + 1 is not common. Stretches are joined over a gap that is
-    worth less than either, or where neither is long enough alone.
+    For each of the ``SPAN`` passages around the anchor: all of its words, and its words
+    without one group of blocks, so that a changed word is passed over by one of them. Then
+    the words beside the anchor on either side, for passages with an inserted word, and the
+    list as a whole.
+    """
+    words = mix(context.T.astype(np.uint64)) * _PLACES[:, None]
+    zero = np.zeros((1, len(context)), np.uint64)
+    gaps = np.concatenate([zero, np.cumsum(context.T == 0, axis=0, dtype=np.uint64)])
+    group = np.arange(CONTEXT) // BLOCK % GROUPS
+    parts = [np.concatenate([zero, np.cumsum(np.where((group == g)[:, None], words, np.uint64(0)), axis=0)]) for g in range(GROUPS)]
+    ways = [(o, o + PASSAGE, range(GROUPS)) for o in range(SPAN)] + [(REACH - BAND, REACH, ()), (REACH + WIDTH, REACH + WIDTH + BAND, ())]
+    for i, (a, b, left_out) in enumerate(ways):
+        rows = np.flatnonzero(gaps[a] == gaps[b])
+        if len(rows):
+            sums = [p[b, rows] - p[a, rows] for p in parts]
+            whole = sum(sums[1:], sums[0])
+            yield i * (GROUPS + 1), rows, whole
+            for g in left_out:
+                yield i * (GROUPS + 1) + 1 + g, rows, whole - sums[g]
+    yield len(ways) * (GROUPS + 1), np.arange(len(context)), np.zeros(len(context), np.uint64)
+
+
+def star(bucket: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (row, its partner) that tie all rows of a bucket: each to the bucket's first text, those of that text to the last.
+
+    Rows are in order of their text. The k-th row of a text in a bucket is tied to the k-th
+    of the other text, beginning anew if that has fewer. A bucket with one text has no pairs.
+    """
+    order = np.argsort(bucket, kind="stable")
+    b, t = bucket[order], text[order]
+    new = np.concatenate([[True], b[1:] != b[:-1]])
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(b)) - 1
+    two = np.flatnonzero(np.repeat(t[first] != t[last], last - first + 1))
+    if not len(two):
+        return two, two
+    run = np.concatenate([[True], new[1:] | (t[1:] != t[:-1])])
+    begin = np.flatnonzero(run)
+    length, which = np.diff(np.append(begin, len(b))), np.cumsum(run) - 1
+    group = (np.cumsum(new) - 1)[two]
+    rank = two - begin[which[two]]
+    to = np.where(t[two] == t[first[group]], which[last[group]], which[first[group]])
+    return order[two], order[begin[to] + rank % length[to]]
+
+
+def stretches(p: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(pair, drift, begin, end): runs of common shingles of pairs of contexts that may be near copies.
+
+    Places are in the context of x, the same shingle stands ``drift`` words later in p. A
+    pair passes if ``ALIKE`` of ``SPAN`` shingles running are common, with words in place
+    or else with drifts of up to ``DRIFT``.
     """
+    n = CONTEXT - WIDTH + 1
+
+    def common(rows: np.ndarray, drift: int) -> np.ndarray:
+        same = np.zeros((len(rows), CONTEXT), bool)
+        a, b = max(0, -drift), min(CONTEXT, CONTEXT - drift)
+        same[:, a:b] = (p[rows, a + drift : b + drift] == x[rows, a:b]) & (x[rows, a:b] != 0)
+        out = same[:, :n].copy()
+        for k in range(1, WIDTH):
+            out &= same[:, k : k + n]
+        return out
+
+    def passes(grid: np.ndarray) -> np.ndarray:
+        sums = np.zeros((len(grid), n + 1), np.int16)
+        np.cumsum(grid, axis=1, out=sums[:, 1:])
+        return (sums[:, SPAN:] - sums[:, :-SPAN]).max(1) >= ALIKE
+
+    rows = np.arange(len(p))
+    grid = common(rows, 0)
+    good = passes(grid)
+    grids = [(rows[good], 0, grid[good])]
+    if not good.all():
+        rest = rows[~good]
+        drifted = [(d, grid[~good] if d == 0 else common(rest, d)) for d in range(-DRIFT, DRIFT + 1)]
+        good = passes(np.logical_or.reduce([g for _, g in drifted]))
+        grids += [(rest[good], d, g[good]) for d, g in drifted]
     out = []
-    for shift in sorted(set(shifts)):
-        lo, hi = max(0, -shift), min(len(b), len(a) - shift)
-        if hi - lo < PASSAGE:
-            continue
-        same = a[lo + shift : hi + shift] == b[lo:hi]
-        sums = np.concatenate([[0], np.cumsum(same)])
-        common = (sums[WIDTH:] - sums[:-WIDTH]) == WIDTH
-        edge = np.flatnonzero(np.diff(np.concatenate([[0], common.astype(np.int8), [0]])))
-        best: list[list[int]] = []  # start, end, balance of common shingles against MISS times the others
-        for s, e in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
-            best.append([s, e, e - s])
-            while len(best) > 1:
-                gap = MISS * (best[-1][0] - best[-2][1])
-                worth = min(best[-1][2], best[-2][2]) >= gap or max(best[-1][1] - best[-1][0], best[-2][1] - best[-2][0]) < SPAN
-                if not worth or best[-1][2] + best[-2][2] < gap:
-                    break
-                last = best.pop()
-                best[-1] = [best[-1][0], last[1], best[-1][2] + last[2] - gap]
-        out += [(lo + s, lo + e + WIDTH - 1, lo + s + shift) for s, e, _ in best if e - s >= SPAN]
-    return out
+    for rows, drift, grid in grids:
+        edge = np.diff(np.pad(grid.astype(np.int8), ((0, 0), (1, 1))), axis=1)
+        at, begin = np.nonzero(edge == 1)
+        out.append((rows[at], np.full(len(at), drift), begin, np.nonzero(edge == -1)[1]))
+    return tuple(np.concatenate(v) for v in zip(*out, strict=True))
 
 
-_SLICE = "p long, x long, shift long, low int, cs array<int>, part binary"
+_STRETCH = "p long, x long, shift int, low int, high int"
 
 
-def _words32(data: np.ndarray, offsets: np.ndarray, i: int) -> np.ndarray:
-    return (_HASH.rows(data, offsets[i : i + 2])[0] >> np.uint64(32)).astype(np.uint32)
+def _stretch_rows(p: np.ndarray, x: np.ndarray, p_c: np.ndarray, x_c: np.ndarray, p_context: np.ndarray, x_context: np.ndarray) -> pa.RecordBatch:
+    pair, drift, begin, end = stretches(p_context, x_context)
+    low = x_c[pair].astype(np.int64) - REACH + begin
+    shift = p_c[pair].astype(np.int64) + drift - x_c[pair]
+    return pa.RecordBatch.from_arrays([pa.array(p[pair]), pa.array(x[pair]), *(pa.array(v.astype(np.int32)) for v in (shift, low, low + end - begin))], names=["p", "x", "shift", "low", "high"])
 
 
-def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The words of x between low and high, as 32-bit hashes, for each (p, x, shift, low, high, cs, text of x)."""
-    last, own = None, None
+def _whole_groups(batches: Iterator[pa.RecordBatch], columns: int, least: int = 1) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at least so many, if there are, that end where a group of equal first columns ends."""
+    rest: list[pa.RecordBatch] = []
     for batch in batches:
-        data, offsets = texts(batch.column(6))
-        parts = []
-        for i, (x, low, high) in enumerate(zip(*(batch.column(k).to_pylist() for k in (1, 3, 4)), strict=True)):
-            if x != last:
-                last, own = x, _words32(data, offsets, i)
-            parts.append(own[low:high].tobytes())
-        yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in (0, 1, 2, 3, 5)), pa.array(parts, pa.binary())], names=["p", "x", "shift", "low", "cs", "part"])
+        if not batch.num_rows:
+            continue
+        rest.append(batch)
+        if sum(b.num_rows for b in rest) < least:
+            continue
+        same = np.ones(batch.num_rows, bool)
+        for k in range(columns):
+            values = batch.column(k).to_numpy()
+            same &= values == values[-1]
+        cut = batch.num_rows - int(np.argmin(same[::-1])) if not same.all() else 0
+        if cut:
+            rest[-1] = batch.slice(0, cut)
+            yield pa.Table.from_batches(rest).combine_chunks().to_batches()[0]
+            rest = [batch.slice(cut)] if cut < batch.num_rows else []
+    if rest:
+        yield pa.Table.from_batches(rest).combine_chunks().to_batches()[0]
 
 
-_FOUND = "x long, p long, x_start int, x_end int, p_start int, c int, shift long, tied boolean"
+def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From entries in order of (key, text_key, c): stretches of the pairs that tie the parts of each list."""
+    for batch in _whole_groups(batches, 1, BATCH):
+        key, text, c = (batch.column(k).to_numpy() for k in range(3))
+        context = _matrix(batch.column(3))
+        lists = mix(key.view(np.uint64))
+        before = np.full((GROUPS + 1, len(key)), -1)
+        codes = []
+        for name, rows, value in seeds(context):
+            a, b = (rows[v] for v in star(value + lists[rows], text[rows]))
+            # neighbouring passages mostly give the same pairs
+            known = before[name % (GROUPS + 1)]
+            other = known[a] != b
+            a, b = a[other], b[other]
+            known[a] = b
+            codes.append(np.minimum(a, b) * len(key) + np.maximum(a, b))
+        code = np.unique(np.concatenate(codes))
+        for k in range(0, len(code), AT_ONCE):
+            p, x = code[k : k + AT_ONCE] // len(key), code[k : k + AT_ONCE] % len(key)
+            yield _stretch_rows(text[p], text[x], c[p], c[x], context[p], context[x])
+
+
+def _seed_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(bucket, key, text_key, c) of each entry and seed."""
+    for batch in batches:
+        key, text, c = (batch.column(k).to_numpy() for k in range(3))
+        lists = mix(key.view(np.uint64))
+        for name, rows, value in seeds(_matrix(batch.column(3))):
+            bucket = mix(value + lists[rows] + np.uint64(name)).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(v) for v in (bucket, key[rows], text[rows], c[rows])], names=["bucket", "key", "text_key", "c"])
 
 
-def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Passages along each (p, x, shift, low, cs, part of x, text of p), and the anchors, ``tied`` if they lie in one."""
-    last, own = None, None
+def _pair_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Stretches of (p, x, p_c, x_c, p_context, x_context)."""
     for batch in batches:
-        data, offsets = texts(batch.column(6))
-        rows: list[tuple] = []
-        for i, (p, x, shift, low, cs, part) in enumerate(zip(*(batch.column(k).to_pylist() for k in range(6)), strict=True)):
-            if p != last:
-                last, own = p, _words32(data, offsets, i)
-            found = [(low + s, low + e, q) for s, e, q in passages(own, np.frombuffer(part, np.uint32), [shift + low])]
-            rows += [(x, p, s, e, q, None, shift, None) for s, e, q in found]
-            rows += [(x, p, None, None, None, c, shift, any(s <= c and c + WIDTH <= e for s, e, _ in found)) for c in cs]
-        types = (pa.int64(), pa.int64(), *[pa.int32()] * 4, pa.int64(), pa.bool_())
-        columns = list(zip(*rows, strict=True)) if rows else [[]] * 8
-        yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(columns, types, strict=True)], names=["x", "p", "x_start", "x_end", "p_start", "c", "shift", "tied"])
-
+        for k in range(0, batch.num_rows, AT_ONCE):
+            some = batch.slice(k, AT_ONCE)
+            yield _stretch_rows(*(some.column(i).to_numpy() for i in range(4)), _matrix(some.column(4)), _matrix(some.column(5)))
+
+
+def _dealt(entries: DataFrame) -> DataFrame:
+    """Stretches of long lists: their seeds are grouped by the cluster, with the pairs of ``star``."""
+    order = F.sort_array(F.collect_set("c"))  # at most the shingles of a text
+    own = stored(entries.mapInArrow(_seed_rows, "bucket long, key long, text_key long, c int").groupBy("bucket", "key", "text_key").agg(order.alias("cs")), "seeds")
+    ends = own.groupBy("bucket").agg(F.min_by("cs", "text_key").alias("first_cs"), F.min("text_key").alias("first"), F.max_by("cs", "text_key").alias("last_cs"), F.max("text_key").alias("last")).filter("first < last")
+    rows = own.join(ends, "bucket").select("*", F.posexplode("cs").alias("rank", "c"), (F.col("text_key") == F.col("first")).alias("head"))
+    to = F.when(F.col("head"), F.col("last_cs")).otherwise(F.col("first_cs"))
+    rows = rows.select("key", "text_key", "c", F.when(F.col("head"), F.col("last")).otherwise(F.col("first")).alias("to_text"), F.get(to, F.col("rank") % F.size(to)).alias("to_c"))
+    here, there = F.struct(F.col("text_key").alias("t"), "c"), F.struct(F.col("to_text").alias("t"), F.col("to_c").alias("c"))
+    pairs = stored(rows.select("key", F.least(here, there).alias("p"), F.greatest(here, there).alias("x")).distinct(), "seed-pairs")
+    side = lambda name: entries.select("key", F.struct(F.col("text_key").alias("t"), "c").alias(name), F.col("context").alias(f"{name}_context"))
+    both = pairs.join(side("p"), ["key", "p"]).join(side("x"), ["key", "x"])
+    return both.select("p.t", F.col("x.t").alias("u"), "p.c", F.col("x.c").alias("d"), "p_context", "x_context").mapInArrow(_pair_rows, _STRETCH)
+
+
+def passages(found: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int]]:
+    """(begin, end, begin in p, end in p), in shingles, of the passages in stretches (shift, begin, end) of one pair of texts.
+
+    A passage has at least ``PASSAGE`` words, begins and ends with a common shingle, and of
+    the shingles of both sides together 80% are common. Stretches are joined over a gap
+    that is worth less than either, or where neither is long enough alone; first those of
+    one shift, then what is left over shifts that are at most ``JUMP`` apart.
+    """
 
-_CONTEXTS = "list long, x long, c int, tied boolean, context binary"
+    def joined(some: list[tuple[int, int, int]]) -> Iterator[tuple[list, int, int, int, int]]:
+        best: list[list] = []  # stretches, balance of common shingles against the others
+        for one in some:
+            best.append([[one], one[2] - one[1]])
+            while len(best) > 1:
+                (before, worth), (after, more) = best[-2:]
+                (s, _, e), (t, b, _) = before[-1], after[0]
+                gap = MISS * (max(0, b - e) + max(0, b + t - e - s))
+                long = max(before[-1][2] - before[0][1], after[-1][2] - after[0][1]) >= SPAN
+                if abs(s - t) > JUMP or b + t + WIDTH < e + s or worth + more < gap or (long and min(worth, more) < gap):
+                    break
+                best[-2:] = [[before + after, worth + more - gap]]
+        for parts, _ in best:
+            (s, b, _), (t, _, e) = parts[0], parts[-1]
+            if min(e - b, e + t - b - s) >= SPAN:
+                yield parts, b, e, b + s, e + t
+
+    out, used = [], set()
+    by_shift: dict[int, list] = {}
+    for one in found:
+        by_shift.setdefault(one[0], []).append(one)
+    for some in by_shift.values():
+        for parts, *ends in joined(some):
+            used |= set(parts)
+            out.append(tuple(ends))
+    if len(by_shift) > 1:
+        left, end = [], -1
+        for one in sorted((o for o in found if o not in used), key=lambda o: (o[1], -o[2])):
+            if one[2] > end:  # of stretches at one place the first that goes on
+                one = (one[0], max(one[1], end), one[2])
+                left.append(one)
+                end = one[2]
+        for parts, *ends in joined(left):
+            if len({o[0] for o in parts}) > 1:
+                out.append(tuple(ends))
+    return out
 
 
-def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The ``PASSAGE`` words on either side of the anchors of (x, cs, tied, text), as 16-bit hashes, and the hash of the anchor's shingle."""
-    for batch in batches:
-        data, offsets = texts(batch.column(3))
-        columns: list[list] = [[], [], [], [], []]
-        for i, (x, cs, tied) in enumerate(zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True)):
-            words = _HASH.rows(data, offsets[i : i + 2])[0]
-            # 0 stands outside of a text
-            short = np.pad(np.maximum(words >> np.uint64(48), np.uint64(1)).astype(np.uint16), (PASSAGE, PASSAGE))
-            lists = windows(words, np.array([0, len(words)]), WIDTH)[0].view(np.int64)[cs].tolist()
-            for column, values in zip(columns, (lists, [x] * len(cs), cs, tied, [short[c : c + 2 * PASSAGE + WIDTH].tobytes() for c in cs]), strict=True):
-                column += values
-        types = (pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.binary())
-        yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(columns, types, strict=True)], names=["list", "x", "c", "tied", "context"])
-
-
-def likeness(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of rows of contexts: the most common shingles of a passage around the anchor, and the common ones up to it and from it on."""
-    same = (a == b) & (a != 0)
-    common = same[:, : 1 - WIDTH].copy()
-    for k in range(1, WIDTH):
-        common &= same[:, k : common.shape[1] + k]
-    sums = np.zeros((len(a), common.shape[1] + 1), np.int16)
-    np.cumsum(common, axis=1, out=sums[:, 1:])
-    at = np.arange(PASSAGE - SPAN + 1, PASSAGE + 1)
-    return (sums[:, at + SPAN] - sums[:, at]).max(1), sums[:, PASSAGE + 1], sums[:, -1] - sums[:, PASSAGE]
-
-
-#: Contexts of a block of a list, pairs compared at a time, and the common shingles of ``SPAN`` that make a pair a candidate.
-BLOCK, AT_ONCE, ALIKE = 1000, 1 << 13, 36
-_NEAREST = "p long, x long, shift long, c int"
-
-
-def _nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows (list, i, j, side, x, c, context) in order of the first four: for each context of side 0 those of side 1 that are most like it."""
-    for batch in _grouped(batches):
-        name, i, j, side, text, c = (batch.column(k).to_numpy() for k in range(6))
-        context = np.frombuffer(b"".join(batch.column(6).to_pylist()), np.uint16).reshape(batch.num_rows, -1)
-        new = np.concatenate([[True], (name[1:] != name[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])])
-        block = np.cumsum(new)
-        ring, others = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-        begin, end = (np.searchsorted(block[others], block[ring], side_) for side_ in ("left", "right"))
-        sums = np.concatenate([[0], np.cumsum(end - begin)])
-        at = 0
-        while at < len(ring):
-            stop = max(at + 1, int(np.searchsorted(sums, sums[at] + AT_ONCE, "right")) - 1)
-            n = (end - begin)[at:stop]
-            x = np.repeat(ring[at:stop], n)
-            p = others[np.arange(len(x)) + np.repeat(begin[at:stop] - sums[at:stop] + sums[at], n)]
-            at = stop
-            apart = text[x] != text[p]
-            x, p = x[apart], p[apart]
-            most, *sides = likeness(context[x], context[p])
-            fits = most >= ALIKE
-            if not fits.any():
-                continue
-            x, p, ranks = x[fits], p[fits], (most[fits], *(v[fits] for v in sides))
-            picked = []
-            for rank in ranks:
-                order = np.lexsort((-rank, x))
-                picked.append(order[np.concatenate([[True], x[order][1:] != x[order][:-1]])])
-            best = np.unique(np.concatenate(picked))
-            x, p = x[best], p[best]
-            yield pa.RecordBatch.from_arrays([pa.array(v) for v in (text[p], text[x], c[p].astype(np.int64) - c[x], c[x])], names=["p", "x", "shift", "c"])
+_FOUND = "p long, x long, p_start int, p_end int, x_start int, x_end int"
+
+
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From stretches in order of (p, x, shift, low): the passages of each pair of texts."""
+    for batch in _whole_groups(batches, 2):
+        p, x, shift, low, high = (batch.column(k).to_numpy().astype(np.int64) for k in range(5))
+        new = np.concatenate([[True], (p[1:] != p[:-1]) | (x[1:] != x[:-1])])
+        line = np.cumsum(np.concatenate([[True], new[1:] | (shift[1:] != shift[:-1])])) << 32
+        far = np.maximum.accumulate(line + high)
+        begin = np.flatnonzero(np.concatenate([[True], (line + low)[1:] > far[:-1]]))
+        high = np.maximum.reduceat(high, begin)
+        pair = (np.cumsum(new) - 1)[begin]
+        p, x, shift, low = p[begin], x[begin], shift[begin], low[begin]
+        alone = (np.bincount(pair) == 1)[pair]
+        easy = np.flatnonzero(alone & (high - low >= SPAN))
+        rows = [np.column_stack([p[easy], x[easy], low[easy] + shift[easy], high[easy] + shift[easy], low[easy], high[easy]])]
+        hard = np.flatnonzero(~alone)
+        cuts = np.flatnonzero(np.diff(pair[hard])) + 1
+        for some in np.split(hard, cuts) if len(hard) else []:
+            for b, e, pb, pe in passages(list(zip(shift[some].tolist(), low[some].tolist(), high[some].tolist(), strict=True))):
+                rows.append(np.array([[p[some[0]], x[some[0]], pb, pe, b, e]]))
+        out = np.concatenate(rows)
+        out[:, [3, 5]] += WIDTH - 1
+        yield pa.RecordBatch.from_arrays([pa.array(out[:, 0]), pa.array(out[:, 1]), *(pa.array(out[:, k].astype(np.int32)) for k in range(2, 6))], names=["p", "x", "p_start", "p_end", "x_start", "x_end"])
 
 
 def _wanted(shared):
@@ -384,98 +438,71 @@ def _wanted(shared):
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Passages of at least 50 words that stand in two documents or more, 80% alike in 5-word shingles.
 
-    Returns a row per document and passage: id, start_word, end_word (exclusive), and of
-    the other documents that hold it, as far as they were compared, one (partner_id, its
-    partner_start) and their number (partners). Texts that are equal as a whole are
-    compared as one and then count as partners of each other over their whole length, if
-    they have 50 words.
+    Returns a row per document and passage: id, start_word, end_word (exclusive), one other
+    document that holds it (partner_id, partner_start, partner_end), the passage's class
+    and the number of documents in that class. Passages are in one class if they are alike
+    or share 50 words of a text, directly or by way of others. Texts that are equal as a
+    whole are compared as one; with 50 words or more they are a class of their own, over
+    their whole length.
 
-    Every posting list of windows with one minimal shingle compares its texts with all
-    windows of the first of them, which is linear in the number of its texts. Shingles for
-    which that finds nothing are compared, with the words around them, with the rest of
-    their list in blocks, so texts that share more with each other than with the first
-    are found too.
+    The texts of a posting list of windows with one minimal shingle are split by the words
+    of each passage around it (``seeds``), and every part is tied together by comparing all
+    of it with one of its texts, so the work is linear in the list, and texts that share 50
+    words are always tied. Lists of more than ``LIST`` anchors are split by the cluster.
 
     Null and short texts have no passage; null ids and repeated rows are documents of
     their own. Repeats inside one document alone are not reported. An empty table gives an
     empty result; other columns are ignored.
     """
-    spark = docs.sparkSession
-    n = partitions(spark)
+    n = partitions(docs.sparkSession)
     rows = docs.select(_text_key(text_col).alias("text_key"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("text"))
-    order = ["key", "text_key", "window"]
-    star = lambda df: df.repartition(n, "key").sortWithinPartitions(*order).mapInArrow(_star, _PAIR)
-    pairs = stored(star(rows.mapInArrow(_window_rows, _WINDOW)), "window-pairs")
-    met = stored(pairs.repartition(n, "p", "x").sortWithinPartitions("p", "x", "shift", "x_window").mapInArrow(_meet, _MET), "met")
-    whole = _whole_texts(rows, met.select(F.explode(F.array("p", "x")).alias("text_key")))
-    first = stored(_verified(met.filter("low is not null"), whole), "passages")
-    # second round: anchors that lie in no passage found against all of their lists
-    again = _untied(met, first, whole).groupBy("p", "x", "shift").agg(F.collect_set("c").alias("cs"))  # at most the shingles of a text
-    high = F.least(F.array_max("cs").cast("long") + (1 << _REACH), F.lit((1 << 31) - 1)).cast("int")
-    low = F.greatest(F.array_min("cs") - (1 << _REACH), F.lit(0))
-    second = _verified(again.select("p", "x", "shift", low.alias("low"), high.alias("high"), "cs"), whole)
-    found = stored(first.filter("c is null").unionByName(second.filter("c is null")).select("x", "p", "x_start", "x_end", "p_start"), "found")
-    sides = found.select(F.col("x").alias("text_key"), F.col("x_start").alias("start_word"), F.col("x_end").alias("end_word"), F.col("p").alias("other"), F.col("p_start").alias("other_start"))
-    sides = sides.unionByName(found.select(F.col("p").alias("text_key"), F.col("p_start").alias("start_word"), (F.col("p_start") + F.col("x_end") - F.col("x_start")).alias("end_word"), F.col("x").alias("other"), F.col("x_start").alias("other_start")))
-    spans = stored(sides.groupBy("text_key", "start_word", "end_word").agg(F.min(F.struct("other", "other_start")).alias("one"), F.count_distinct("other").alias("partners")), "spans")
-    return _by_document(docs, spans, id_col, text_col)
-
-
-def _untied(met: DataFrame, first: DataFrame, whole: DataFrame) -> DataFrame:
-    """(p, x, shift, c): anchors of the lists that their first text does not tie together, each with those most like it.
-
-    Equal contexts are one class, and classes are compared in blocks of bounded size, the
-    untied ones with all of their list.
-    """
-    n = partitions(met.sparkSession)
-    posts = met.filter("low is null").select("p", "x", "shift", F.explode("cs").alias("c"), F.lit(False).alias("tied"))
-    posts = posts.unionByName(first.filter("c is not null").select("p", "x", "shift", "c", "tied")).withColumn("at", (F.col("c") + F.col("shift")).cast("int"))
-    posts = stored(posts.select("p", "at", "x", "c", "tied"), "posts")
-    posts = posts.join(posts.filter("not tied").select("p", "at").distinct(), ["p", "at"])
-    ends = posts.select(F.explode(F.array(F.struct("x", "c", "tied"), F.struct(F.col("p").alias("x"), F.col("at").alias("c"), "tied"))).alias("end")).select("end.*")
-    ends = ends.groupBy("x", "c").agg(F.max("tied").alias("tied"))
-    ends = ends.groupBy("x").agg(F.collect_list(F.struct("c", "tied")).alias("ends"))  # at most the shingles of a text
-    rows = ends.join(whole.withColumnRenamed("text_key", "x"), "x").select("x", F.col("ends.c").alias("cs"), F.col("ends.tied").alias("tied"), "text")
-    rows = stored(rows.mapInArrow(_contexts, _CONTEXTS).withColumn("cls", F.xxhash64("context")), "contexts")
-    classes = rows.groupBy("list", "cls").agg(F.min(F.struct("x", "c")).alias("one"), F.min("tied").alias("tied"), F.first("context").alias("context"))
-    classes = stored(classes, "classes")
-    sizes = classes.groupBy("list").agg(F.count(F.lit(1)).alias("every"), F.count_if(~F.col("tied")).alias("free")).filter("every > 1 and free > 0")
-    blocks = lambda size: F.ceil(F.col(size) / BLOCK).cast("int")
-    dealt = classes.join(sizes.select("list", blocks("every").alias("nb"), blocks("free").alias("nr")), "list")
-    slot = lambda size: F.pmod(F.col("cls"), F.col(size)).cast("int")
-    upto = lambda size: F.sequence(F.lit(0), F.col(size) - 1)
-    ring = dealt.filter("not tied").select("list", slot("nr").alias("i"), F.explode(upto("nb")).alias("j"), F.lit(0).alias("side"), "one.*", "context")
-    others = dealt.select("list", F.explode(upto("nr")).alias("i"), slot("nb").alias("j"), F.lit(1).alias("side"), "one.*", "context")
-    order = ["list", "i", "j", "side"]
-    near = ring.unionByName(others).repartition(n, "list", "i", "j").sortWithinPartitions(*order).mapInArrow(_nearest, _NEAREST)
-    # untied anchors of one class: against the first of it
-    twins = rows.filter("not tied").select("list", "cls", "x", "c").join(classes.select("list", "cls", "one"), ["list", "cls"]).filter("x <> one.x")
-    return near.unionByName(twins.select(F.col("one.x").alias("p"), "x", (F.col("one.c") - F.col("c")).cast("long").alias("shift"), "c"))
+    posts = stored(rows.mapInArrow(_posts, _POST), "posts")
+    lists = posts.groupBy("key").agg(F.min("text_key").alias("a"), F.max("text_key").alias("b"), F.sum("times").alias("n")).filter("a < b")
+    lists = stored(lists.select("key", (F.col("n") > LIST).cast("long").alias("long")), "lists")
+    own = posts.select("key", "text_key").join(lists, "key").groupBy("text_key")
+    own = stored(own.agg(F.collect_set(F.col("key").bitwiseOR(F.col("long"))).alias("keys"), F.max("long").alias("long")), "text-lists")
+    whole = _whole_texts(rows, own)
+    entries = lambda marked: own.filter(f"long >= {int(marked)}").join(whole, "text_key").select("text_key", "keys", "text").mapInArrow(_anchors(marked), _ENTRY)
+    met = entries(False).repartition(n, "key").sortWithinPartitions("key", "text_key", "c").mapInArrow(_compared, _STRETCH)
+    if not lists.filter("long = 1").isEmpty():
+        met = stored(met, "stretches").unionByName(_dealt(stored(entries(True), "long-lists")))
+    found = stored(met.repartition(n, "p", "x").sortWithinPartitions("p", "x", "shift", "low").mapInArrow(_merged, _FOUND), "found")
+    return _by_document(docs, *_classes(found), id_col, text_col)
 
 
 def _whole_texts(rows: DataFrame, keys: DataFrame) -> DataFrame:
-    """(text_key, text) of the texts that take part, one of each."""
-    keys = stored(keys.distinct(), "text-keys")
+    """(text_key, text) of at least the texts that take part, one of each."""
     shared = rows.sparkSession.sparkContext.broadcast(_bitmap(keys, "text_key"))
-    some = rows.mapInArrow(_wanted(shared), "text_key long, text binary").groupBy("text_key").agg(F.first("text").alias("text"))
-    return stored(some.join(keys, "text_key"), "whole-texts")
-
-
-def _verified(met: DataFrame, whole: DataFrame) -> DataFrame:
-    """The passages: the part of x goes to the text of p, so a text is moved once, not once a pair."""
-    x, p = whole.withColumnRenamed("text_key", "x"), whole.withColumnRenamed("text_key", "p")
-    parts = met.join(x, "x").select("p", "x", "shift", "low", "high", "cs", "text").mapInArrow(_cut_out, _SLICE)
-    return parts.join(p, "p").select("p", "x", "shift", "low", "cs", "part", "text").mapInArrow(_verify, _FOUND)
-
-
-def _by_document(docs: DataFrame, spans: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return rows.mapInArrow(_wanted(shared), "text_key long, text binary").groupBy("text_key").agg(F.first("text").alias("text"))
+
+
+def _classes(found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(spans of texts with one partner each and the region they lie in, regions with their class)."""
+    side = lambda a, b: F.struct(F.col(a).alias("text_key"), F.col(f"{a}_start").alias("start_word"), F.col(f"{a}_end").alias("end_word"), F.col(b).alias("other"), F.col(f"{b}_start").alias("other_start"), F.col(f"{b}_end").alias("other_end"))
+    sides = found.select(F.inline(F.array(side("x", "p"), side("p", "x"))))
+    spans = sides.groupBy("text_key", "start_word", "end_word").agg(F.min(F.struct("other", "other_start", "other_end")).alias("one"))
+    # spans of a text that overlap by a passage are one region; a text has at most as many as its words allow
+    by_text = Window.partitionBy("text_key").orderBy("start_word", "end_word")
+    before = F.max("end_word").over(by_text.rowsBetween(Window.unboundedPreceding, -1))
+    spans = spans.withColumn("new", F.when(before - F.col("start_word") >= PASSAGE, 0).otherwise(1))
+    spans = stored(spans.withColumn("region", F.xxhash64("text_key", F.sum("new").over(by_text.rowsBetween(Window.unboundedPreceding, 0)))).drop("new"), "spans")
+    at = lambda a: spans.select(F.col("text_key").alias(a), F.col("start_word").alias(f"{a}_start"), F.col("end_word").alias(f"{a}_end"), F.col("region").alias(f"{a}_region"))
+    links = found.join(at("p"), ["p", "p_start", "p_end"]).join(at("x"), ["x", "x_start", "x_end"])
+    regions = components(links.select(F.col("p_region").alias("a"), F.col("x_region").alias("b")))
+    return spans, regions.select(F.col("vertex").alias("region"), F.col("root").alias("passage_class"))
+
+
+def _by_document(docs: DataFrame, spans: DataFrame, regions: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Spans of texts to spans of documents, and the copies among the documents."""
     words = F.size(F.regexp_extract_all(F.coalesce(F.col(text_col), F.lit("")), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)))
     keyed = stored(docs.select(F.col(id_col).alias("row_id"), _text_key(text_col).alias("text_key"), words.alias("words")), "keyed")
     texts_ = stored(keyed.groupBy("text_key").agg(F.min("row_id").alias("first_id"), F.count(F.lit(1)).alias("n"), F.max("row_id").alias("last_id"), F.max("words").alias("words")), "texts")
-    named = spans.join(texts_.select(F.col("text_key").alias("other"), F.col("first_id").alias("partner_id")), spans["one.other"] == F.col("other"))
-    named = stored(named.select("text_key", "start_word", "end_word", "partner_id", F.col("one.other_start").alias("partner_start"), "partners"), "named")
-    inside = keyed.select("row_id", "text_key").join(named, "text_key").drop("text_key")
+    classed = spans.join(regions, "region")
+    sizes = classed.select("passage_class", "text_key").distinct().join(texts_.select("text_key", "n"), "text_key").groupBy("passage_class").agg(F.sum("n").alias("class_documents"))
+    named = classed.join(texts_.select(F.col("text_key").alias("other"), F.col("first_id").alias("partner_id")), spans["one.other"] == F.col("other")).join(sizes, "passage_class")
+    columns = ["start_word", "end_word", "partner_id", "partner_start", "partner_end", "passage_class", "class_documents"]
+    named = stored(named.select("text_key", "start_word", "end_word", "partner_id", F.col("one.other_start").alias("partner_start"), F.col("one.other_end").alias("partner_end"), "passage_class", "class_documents"), "named")
+    inside = keyed.select("row_id", "text_key").join(named, "text_key").select("row_id", *columns)
     copies = stored(texts_.filter((F.col("n") > 1) & (F.col("words") >= PASSAGE)).drop("words"), "copies")
     whole = keyed.join(copies, "text_key").select(
         "row_id",
@@ -483,7 +510,9 @@ def _by_document(docs: DataFrame, spans: DataFrame, id_col: str, text_col: str)
         F.col("words").alias("end_word"),
         F.when(F.col("row_id").eqNullSafe(F.col("first_id")), F.col("last_id")).otherwise(F.col("first_id")).alias("partner_id"),
         F.lit(0).alias("partner_start"),
-        (F.col("n") - 1).alias("partners"),
+        F.col("words").alias("partner_end"),
+        F.xxhash64("text_key", F.lit(0)).alias("passage_class"),
+        F.col("n").alias("class_documents"),
     )
     return inside.unionByName(whole).withColumnRenamed("row_id", id_col)
 

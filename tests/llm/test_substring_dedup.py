@@ -130,24 +130,98 @@ def test_empty_table_and_query(spark, sf):
 
 
 def test_texts_of_32_mb_and_more():
-    c = np.array([0, 1 << 24, (1 << 31) - 1])
-    for f in range(sd.HASHES):
-        got = sd.unpack(sd.pack(c, np.maximum(c - 7, 0), c + 60, f))
-        assert [x.tolist() for x in got[:3]] == [c.tolist(), np.maximum(c - 7, 0).tolist(), (c + 60).tolist()] and set(got[3].tolist()) == {f}
     passage = sentence(random.Random(9), 80)
     long = " ".join(map(str, np.random.default_rng(9).integers(10**8, 10**9, 3_400_000).tolist())) + " " + passage
     assert len(long) >= 1 << 25
     batch = pa.RecordBatch.from_pydict({"text_key": [1, 2], "text": [long.encode(), passage.encode()]})
-    made = pa.Table.from_batches(sd._window_rows([batch]))
-    key, text, window = (made.column(k).to_numpy() for k in range(3))
-    ends = {int(x) for x in key[(text == 1) & (sd.unpack(window)[0] >= 3_400_000)]}
-    assert len(ends & set(key[text == 2].tolist())) >= sd.HASHES
+    key, text, _ = (c.to_numpy() for c in pa.Table.from_batches(sd._posts([batch])).columns)
+    both = np.intersect1d(key[text == 1], key[text == 2])
+    assert len(both) >= sd.HASHES
+    batch = pa.RecordBatch.from_pydict({"text_key": [1, 2], "keys": [both.tolist()] * 2, "text": [long.encode(), passage.encode()]})
+    entries = pa.Table.from_batches(sd._anchors(False)([batch])).sort_by([("key", "ascending"), ("text_key", "ascending"), ("c", "ascending")])
+    met = pa.Table.from_batches(sd._compared(entries.combine_chunks().to_batches()[:1])).sort_by([(c, "ascending") for c in ("p", "x", "shift", "low")])
+    found = pa.Table.from_batches(sd._merged(met.combine_chunks().to_batches()))
+    assert (1, 2, 3_400_000, 3_400_080, 0, 80) in set(zip(*(c.to_pylist() for c in found.columns), strict=True))
 
 
 @pytest.mark.parametrize("gap,want", [(0, 1), (4, 1), (40, 2)])
 def test_passages_join_over_small_gaps(gap, want):
-    rng = np.random.default_rng(5)
-    a = rng.integers(0, 1 << 60, 200 + gap, dtype=np.uint64)
-    b = a.copy()
-    b[100 : 100 + gap] += np.uint64(1)
-    assert len(sd.passages(a, b, [0])) == want
+    found = [(0, 0, 100 - (sd.WIDTH - 1 if gap else 0)), (0, 100 + gap, 196 + gap)]
+    assert len(sd.passages(found)) == want
+
+
+def test_star_ties_all_texts_of_a_bucket():
+    rng = np.random.default_rng(3)
+    text = np.sort(rng.integers(0, 12, 200))
+    bucket = rng.integers(0, 9, 200).astype(np.uint64)
+    row, partner = sd.star(bucket, text)
+    assert (bucket[row] == bucket[partner]).all() and (text[row] != text[partner]).all()
+    for b in range(9):
+        here = np.flatnonzero(bucket == b)
+        assert set(here) == set(row[bucket[row] == b]) or len(set(text[here])) == 1
+    assert not len(sd.star(np.zeros(5, np.uint64), np.ones(5))[0])
+
+
+def fragments(seed: int) -> list[tuple[int, str]]:
+    """Pieces of 41 to 56 words of four common passages of 110 words, in texts of their own."""
+    rng = random.Random(seed)
+    common = [sentence(rng, 110).split() for _ in range(4)]
+    out = []
+    for i in range(200):
+        n = rng.randint(41, 56)
+        at = rng.randint(0, 110 - n)
+        out.append((i, " ".join([sentence(rng, rng.randint(0, 30)), *rng.choice(common)[at : at + n], sentence(rng, rng.randint(0, 30))])))
+    return out
+
+
+@pytest.mark.parametrize("seed,most", [(1, None), (2, None), (2, 20)])
+def test_overlapping_fragments_and_long_lists(spark, monkeypatch, seed, most):
+    rows = fragments(seed)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = sd.repeated_passages(docs).collect()
+    check(rows, found)
+    if most:
+        monkeypatch.setattr(sd, "LIST", most)
+        pieces = sd.repeated_passages(docs.repartition(7)).collect()
+        assert sorted(pieces) == sorted(found)
+
+
+def test_near_copies_by_brute_force(spark):
+    """Of all pairs of texts that hold 60-word passages 80% alike, what share has both passages reported?"""
+    rng = random.Random(31)
+    grams = lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+    texts, held = [], []
+    for _ in range(30):
+        base = sentence(rng, 60).split()
+        for k in range(6):
+            w = list(base)
+            for at in rng.sample(range(5, 55), k % 3):
+                if rng.random() < 0.4:
+                    w.insert(at, sentence(rng, 1))
+                else:
+                    w[at] = sentence(rng, 1)
+            before = sentence(rng, rng.randint(20, 60))
+            held.append((len(before.split()), w))
+            texts.append(" ".join([before, *w, sentence(rng, rng.randint(20, 60))]))
+    found = sd.repeated_passages(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    classes = defaultdict(set)
+    for r in found:
+        at, w = held[r.doc_id]
+        if r.start_word < at + len(w) and at < r.end_word:
+            classes[r.doc_id].add(r.passage_class)
+    alike = [(a, b) for a in range(len(texts)) for b in range(a) for x, y in [(grams(held[a][1]), grams(held[b][1]))] if a // 6 == b // 6 and len(x & y) >= 0.8 * len(x | y)]
+    caught = sum(bool(classes[a] & classes[b]) for a, b in alike)
+    assert len(alike) > 100 and caught >= 0.97 * len(alike), (caught, len(alike))
+
+
+def test_classes_and_an_inserted_word(spark):
+    rng = random.Random(41)
+    passage = sentence(rng, 70).split()
+    texts = [sentence(rng, 30 + i) + " " + " ".join(passage) + " " + sentence(rng, 30) for i in range(9)]
+    more = " ".join([*passage[:35], "inserted", *passage[35:]])
+    texts += [sentence(rng, 20) + " " + more, texts[0], sentence(rng, 300)]
+    rows = list(enumerate(texts))
+    found = [r for r in sd.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect() if r.end_word - r.start_word < 90]
+    assert {r.doc_id for r in found} == set(range(11)) and len({r.passage_class for r in found}) == 1
+    assert {r.class_documents for r in found} == {11}
+    assert {(r.start_word, r.end_word) for r in found if r.doc_id == 9} == {(20, 91)}
