@@ -228,8 +228,8 @@ def stretches(p: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     """(pair, drift, begin, end): runs of common shingles of pairs of contexts that may be near copies.
 
     Places are in the context of x, the same shingle stands ``drift`` words later in p. A
-    pair passes if ``ALIKE`` of ``SPAN`` shingles running are common, with words in place
-    or else with drifts of up to ``DRIFT``.
+    pair passes if it has ``SPAN`` common shingles running, or if ``ALIKE`` of ``SPAN`` are
+    common when words may drift by up to ``DRIFT``.
     """
     n = CONTEXT - WIDTH + 1
 
@@ -242,19 +242,19 @@ def stretches(p: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
             out &= same[:, k : k + n]
         return out
 
-    def passes(grid: np.ndarray) -> np.ndarray:
+    def passes(grid: np.ndarray, least: int) -> np.ndarray:
         sums = np.zeros((len(grid), n + 1), np.int16)
         np.cumsum(grid, axis=1, out=sums[:, 1:])
-        return (sums[:, SPAN:] - sums[:, :-SPAN]).max(1) >= ALIKE
+        return (sums[:, SPAN:] - sums[:, :-SPAN]).max(1) >= least
 
     rows = np.arange(len(p))
     grid = common(rows, 0)
-    good = passes(grid)
+    good = passes(grid, SPAN)
     grids = [(rows[good], 0, grid[good])]
     if not good.all():
         rest = rows[~good]
         drifted = [(d, grid[~good] if d == 0 else common(rest, d)) for d in range(-DRIFT, DRIFT + 1)]
-        good = passes(np.logical_or.reduce([g for _, g in drifted]))
+        good = passes(np.logical_or.reduce([g for _, g in drifted]), ALIKE)
         grids += [(rest[good], d, g[good]) for d, g in drifted]
     out = []
     for rows, drift, grid in grids:
