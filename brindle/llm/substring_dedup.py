@@ -456,15 +456,13 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """
     n = partitions(docs.sparkSession)
     rows = docs.select(_text_key(text_col).alias("text_key"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("text"))
-    posts = stored(rows.mapInArrow(_posts, _POST), "posts")
-    lists = posts.groupBy("key").agg(F.min("text_key").alias("a"), F.max("text_key").alias("b"), F.sum("times").alias("n")).filter("a < b")
-    lists = stored(lists.select("key", (F.col("n") > LIST).cast("long").alias("long")), "lists")
-    own = posts.select("key", "text_key").join(lists, "key").groupBy("text_key")
-    own = stored(own.agg(F.collect_set(F.col("key").bitwiseOR(F.col("long"))).alias("keys"), F.max("long").alias("long")), "text-lists")
+    posts, of_list = rows.mapInArrow(_posts, _POST), Window.partitionBy("key")
+    posts = posts.select("key", "text_key", F.min("text_key").over(of_list).alias("a"), F.max("text_key").over(of_list).alias("b"), (F.sum("times").over(of_list) > LIST).cast("long").alias("long"))
+    own = stored(posts.filter("a < b").groupBy("text_key").agg(F.collect_set(F.col("key").bitwiseOR(F.col("long"))).alias("keys"), F.max("long").alias("long")), "text-lists")
     whole = _whole_texts(rows, own)
     entries = lambda marked: own.filter(f"long >= {int(marked)}").join(whole, "text_key").select("text_key", "keys", "text").mapInArrow(_anchors(marked), _ENTRY)
     met = entries(False).repartition(n, "key").sortWithinPartitions("key", "text_key", "c").mapInArrow(_compared, _STRETCH)
-    if not lists.filter("long = 1").isEmpty():
+    if not own.filter("long = 1").isEmpty():
         met = stored(met, "stretches").unionByName(_dealt(stored(entries(True), "long-lists")))
     found = stored(met.repartition(n, "p", "x").sortWithinPartitions("p", "x", "shift", "low").mapInArrow(_merged, _FOUND), "found")
     return _by_document(docs, *_classes(found), id_col, text_col)
@@ -476,6 +474,16 @@ def _whole_texts(rows: DataFrame, keys: DataFrame) -> DataFrame:
     return rows.mapInArrow(_wanted(shared), "text_key long, text binary").groupBy("text_key").agg(F.first("text").alias("text"))
 
 
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The number of words in place of the text."""
+    for batch in batches:
+        data, offsets = texts(batch.column(2))
+        counts = np.zeros(batch.num_rows, np.int32)
+        for lo, hi in slices(offsets):
+            counts[lo:hi] = np.diff(_HASH.starts(data, offsets[lo : hi + 1]))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(counts)], names=["row_id", "text_key", "words"])
+
+
 def _classes(found: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(spans of texts with one partner each and the region they lie in, regions with their class)."""
     side = lambda a, b: F.struct(F.col(a).alias("text_key"), F.col(f"{a}_start").alias("start_word"), F.col(f"{a}_end").alias("end_word"), F.col(b).alias("other"), F.col(f"{b}_start").alias("other_start"), F.col(f"{b}_end").alias("other_end"))
@@ -494,8 +502,9 @@ def _classes(found: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def _by_document(docs: DataFrame, spans: DataFrame, regions: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Spans of texts to spans of documents, and the copies among the documents."""
-    words = F.size(F.regexp_extract_all(F.coalesce(F.col(text_col), F.lit("")), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)))
-    keyed = stored(docs.select(F.col(id_col).alias("row_id"), _text_key(text_col).alias("text_key"), words.alias("words")), "keyed")
+    kind = docs.select(F.col(id_col)).schema.fields[0].dataType.simpleString()
+    rows = docs.select(F.col(id_col).alias("row_id"), _text_key(text_col).alias("text_key"), F.col(text_col).cast("binary").alias("text"))
+    keyed = stored(rows.mapInArrow(_counted, f"row_id {kind}, text_key long, words int"), "keyed")
     texts_ = stored(keyed.groupBy("text_key").agg(F.min("row_id").alias("first_id"), F.count(F.lit(1)).alias("n"), F.max("row_id").alias("last_id"), F.max("words").alias("words")), "texts")
     classed = spans.join(regions, "region")
     sizes = classed.select("passage_class", "text_key").distinct().join(texts_.select("text_key", "n"), "text_key").groupBy("passage_class").agg(F.sum("n").alias("class_documents"))

@@ -77,6 +77,16 @@ class Hasher:
         np.cumsum(self.value[data] * up[:n], out=sums[1:])
         return mix((sums[ends] - sums[starts]) * down[starts]), starts
 
+    def starts(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """For texts data[offsets[i]:offsets[i+1]]: where each text's words begin, as by ``rows`` but without hashes."""
+        word = ~self.separator[data[offsets[0] : offsets[-1]]]
+        first = word.copy()
+        first[1:] &= ~word[:-1]
+        at = offsets - offsets[0]
+        inner = at[at < len(word)]
+        first[inner] = word[inner]
+        return np.searchsorted(np.flatnonzero(first), at)
+
     def rows(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """For texts data[offsets[i]:offsets[i+1]]: word hashes, start byte of each word, and where each text's words begin (one more than texts)."""
         hashes, places, at, end = [], [], int(offsets[0]), int(offsets[-1])
