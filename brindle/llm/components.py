@@ -12,20 +12,34 @@ def components(links: DataFrame) -> DataFrame:
     """(vertex, root) for all ends of the links (a, b); the root is the component's least vertex.
 
     Every round each vertex hooks to its least neighbour if that is smaller, hooks are
-    followed once more, and links are drawn anew between what is left. Minima are partial
-    aggregates, so a vertex with very many links is no bottleneck; each round is written
-    to the shared folder, which cuts its lineage.
+    followed until they end (twice as far each time, so a chain of n takes about log n
+    steps), and links are drawn anew between the ends. Rounds after the first see only what
+    is still linked; their hooks are put together at the end. Minima are partial
+    aggregates, so a vertex with very many links is no bottleneck; each step is written to
+    the shared folder, which cuts its lineage. Null ends are no vertices.
     """
-    rest = stored(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct(), "links")
-    roots = rest.select(F.col("a").alias("vertex")).union(rest.select("b")).distinct().withColumn("root", F.col("vertex"))
+    ordered = lambda a, b: (F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
+    rest = stored(links.filter("a <> b").select(*ordered("a", "b")).distinct(), "links")
+    # a link of a vertex with itself makes it a vertex, too
+    alone = links.filter("a = b").select(F.col("a").alias("x"), F.col("a").alias("to"))
+    rounds = []
     while not rest.isEmpty():
-        both = rest.union(rest.select("b", "a"))
-        hook = cut(both.groupBy("a").agg(F.min("b").alias("least")).select(F.col("a").alias("x"), F.least("a", "least").alias("to")))
-        next_ = hook.select(F.col("x").alias("to"), F.col("to").alias("far"))
-        hook = cut(hook.join(next_, "to").select("x", F.col("far").alias("to")))
-        roots = cut(roots.join(hook, roots["root"] == hook["x"], "left").select("vertex", F.coalesce("to", "root").alias("root")))
-        left = hook.select(F.col("x").alias("a"), F.col("to").alias("a2"))
-        right = hook.select(F.col("x").alias("b"), F.col("to").alias("b2"))
-        moved = rest.join(left, "a").join(right, "b").filter("a2 <> b2")
-        rest = stored(moved.select(F.least("a2", "b2").alias("a"), F.greatest("a2", "b2").alias("b")).distinct(), "links")
-    return roots
+        # the lesser end of a link has no smaller neighbour by it
+        hook = cut(rest.select("a", "b").union(rest.select("a", "a")).groupBy(F.col("b").alias("x")).agg(F.min("a").alias("to")))
+        while True:
+            far = hook.select(F.col("x").alias("to"), F.col("to").alias("far"))
+            hook = cut(hook.join(far, "to").select("x", F.col("far").alias("to"), (F.col("far") < F.col("to")).alias("moved")))
+            if hook.filter("moved").isEmpty():
+                break
+            hook = hook.drop("moved")
+        hook = hook.drop("moved")
+        rounds.append(hook)
+        left, right = hook.toDF("a", "a2"), hook.toDF("b", "b2")
+        rest = stored(rest.join(left, "a").join(right, "b").filter("a2 <> b2").select(*ordered("a2", "b2")).distinct(), "links")
+    roots = None
+    for hook in reversed(rounds):
+        if roots is not None:
+            hook = hook.join(roots.toDF("to", "root"), "to", "left").select("x", F.coalesce("root", "to").alias("to"))
+        roots = hook
+    roots = alone.distinct() if roots is None else roots.union(alone.join(roots, "x", "left_anti").distinct())
+    return cut(roots.select(F.col("x").alias("vertex"), F.col("to").alias("root")))

@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -484,29 +484,32 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(counts)], names=["row_id", "text_key", "words"])
 
 
+def _node(text: str, start: str, end: str) -> Column:
+    """A passage of a text as a number, in the order of the texts, so that a list's first text is the least of what it ties."""
+    low = (1 << 40) - 1
+    return F.col(text).bitwiseAND(F.lit(~low)).bitwiseOR(F.xxhash64(text, start, end).bitwiseAND(F.lit(low)))
+
+
 def _classes(found: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(spans of texts with one partner each and the region they lie in, regions with their class)."""
+    """(spans of texts, with one partner each; the class of each span)."""
     side = lambda a, b: F.struct(F.col(a).alias("text_key"), F.col(f"{a}_start").alias("start_word"), F.col(f"{a}_end").alias("end_word"), F.col(b).alias("other"), F.col(f"{b}_start").alias("other_start"), F.col(f"{b}_end").alias("other_end"))
     sides = found.select(F.inline(F.array(side("x", "p"), side("p", "x"))))
-    spans = sides.groupBy("text_key", "start_word", "end_word").agg(F.min(F.struct("other", "other_start", "other_end")).alias("one"))
-    # spans of a text that overlap by a passage are one region; a text has at most as many as its words allow
-    by_text = Window.partitionBy("text_key").orderBy("start_word", "end_word")
-    before = F.max("end_word").over(by_text.rowsBetween(Window.unboundedPreceding, -1))
-    spans = spans.withColumn("new", F.when(before - F.col("start_word") >= PASSAGE, 0).otherwise(1))
-    spans = stored(spans.withColumn("region", F.xxhash64("text_key", F.sum("new").over(by_text.rowsBetween(Window.unboundedPreceding, 0)))).drop("new"), "spans")
-    at = lambda a: spans.select(F.col("text_key").alias(a), F.col("start_word").alias(f"{a}_start"), F.col("end_word").alias(f"{a}_end"), F.col("region").alias(f"{a}_region"))
-    links = found.join(at("p"), ["p", "p_start", "p_end"]).join(at("x"), ["x", "x_start", "x_end"])
-    regions = components(links.select(F.col("p_region").alias("a"), F.col("x_region").alias("b")))
-    return spans, regions.select(F.col("vertex").alias("region"), F.col("root").alias("passage_class"))
-
-
-def _by_document(docs: DataFrame, spans: DataFrame, regions: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    spans = sides.groupBy("text_key", "start_word", "end_word").agg(F.min(F.struct("other", "other_start", "other_end")).alias("one")).withColumn("node", _node("text_key", "start_word", "end_word"))
+    # of the spans of a text before this one that which ends last; a text has at most as many as its words allow
+    before = Window.partitionBy("text_key").orderBy("start_word", "end_word").rowsBetween(Window.unboundedPreceding, -1)
+    spans = stored(spans.withColumn("before", F.max(F.struct("end_word", "node")).over(before)), "spans")
+    links = found.select(_node("p", "p_start", "p_end").alias("a"), _node("x", "x_start", "x_end").alias("b"))
+    links = links.unionByName(spans.filter(F.col("before.end_word") - F.col("start_word") >= PASSAGE).select(F.col("before.node").alias("a"), F.col("node").alias("b")))
+    return spans.drop("before"), components(links).toDF("node", "passage_class")
+
+
+def _by_document(docs: DataFrame, spans: DataFrame, classes: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Spans of texts to spans of documents, and the copies among the documents."""
     kind = docs.select(F.col(id_col)).schema.fields[0].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("row_id"), _text_key(text_col).alias("text_key"), F.col(text_col).cast("binary").alias("text"))
     keyed = stored(rows.mapInArrow(_counted, f"row_id {kind}, text_key long, words int"), "keyed")
     texts_ = stored(keyed.groupBy("text_key").agg(F.min("row_id").alias("first_id"), F.count(F.lit(1)).alias("n"), F.max("row_id").alias("last_id"), F.max("words").alias("words")), "texts")
-    classed = spans.join(regions, "region")
+    classed = spans.join(classes, "node").drop("node")
     sizes = classed.select("passage_class", "text_key").distinct().join(texts_.select("text_key", "n"), "text_key").groupBy("passage_class").agg(F.sum("n").alias("class_documents"))
     named = classed.join(texts_.select(F.col("text_key").alias("other"), F.col("first_id").alias("partner_id")), spans["one.other"] == F.col("other")).join(sizes, "passage_class")
     columns = ["start_word", "end_word", "partner_id", "partner_start", "partner_end", "passage_class", "class_documents"]
