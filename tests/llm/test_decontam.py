@@ -87,3 +87,27 @@ def test_odd_cases(spark):
 @pytest.mark.parametrize("n,want", [(7, (7, 0)), (9, (9, 1)), (12, (12, 1)), (13, (13, 2)), (50, (13, 2))])
 def test_allowed(n, want):
     assert dc.allowed(n) == want
+
+
+def test_repeated_words_take_linear_work_and_agree_with_brute_force():
+    import time
+
+    import numpy as np
+
+    for pattern, n in (("w", 400), ("a b", 60), ("a b c d e f g", 90)):
+        text, item = " ".join((pattern.split() * n)[: 3 * n]), " ".join((pattern.split() * n)[:n])
+        raw = text.encode()
+        (found,) = dc.Benchmark([(1, item)]).find(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+        assert found[:2] == (0, 0) and found[4:] == (n, n)
+    item, raw = " ".join(["w"] * 400), " ".join(["w"] * 20_000).encode()
+    bench, began = dc.Benchmark([(1, item)]), time.time()
+    (found,) = bench.find(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+    assert found[4:] == (400, 400) and time.time() - began < 5
+
+
+def test_short_items_and_ids_of_text(spark):
+    bench = spark.createDataFrame([("a", "three plain words"), ("b", "one two three four five six seven eight"), (None, "x y")], "item_id string, text string")
+    docs = spark.createDataFrame([("p", "here are Three plain, words and more"), ("q", "one two three four five six seven eight"), ("r", "x z y")], "doc_id string, text string")
+    assert sorted(tuple(r)[:2] for r in dc.overlaps(docs, bench, shortest=3).collect()) == [("p", "a"), ("q", "b")]
+    assert sorted(tuple(r)[:2] for r in dc.overlaps(docs, bench).collect()) == [("q", "b")]
+    assert [r.doc_id for r in dc.decontaminate(docs, bench, shortest=3).collect()] == ["r"]
