@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import bound_batches
+from .runtime import bound_batches, filesystem, new_folder
 from .words import PUNCTUATION, SPACES, Hasher, mix, slices, texts
 
 #: Bounds: labelled rows of the fit; hash buckets (a bit count), which bound the weights.
 FIT_ROWS, BITS = 16_000, 20
 ALPHA, BETA, L1, L2, PASSES, RAREST = 0.1, 1.0, 12.0, 1.0, 3, 3
+#: The bias without any example: nothing is toxic.
+NO_EXAMPLES = -35.0
 FOLDS = 5
 
 _HASH = Hasher(SPACES + PUNCTUATION)
@@ -52,28 +55,30 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.array(packed, pa.binary())], names=["turn", "label", "keys"])
 
 
-def ftrl(examples: list[tuple[np.ndarray, int]], passes: int = PASSES) -> tuple[np.ndarray, np.ndarray, float]:
+def ftrl(examples: Iterable[tuple[np.ndarray, int]], passes: int = PASSES) -> tuple[np.ndarray, np.ndarray, float]:
     """(buckets, weights, bias) after per-coordinate FTRL-proximal steps over the examples in turn.
 
     Each coordinate has its own rate alpha / (beta + sqrt(sum of squared gradients)) and is
     exactly zero while its accumulated gradient stays under ``L1``. Buckets of fewer than
     ``RAREST`` examples take no part. Rows of the rarer label weigh more, up to 3 times.
+    The examples are gone through once more than ``passes`` and never held together.
     """
     size = 1 << BITS
     seen = np.zeros(size, np.int32)
-    for keys, _ in examples:
+    rows = ones = 0
+    for keys, y in examples:
         seen[keys] += 1
-    kept = [(keys[seen[keys] >= RAREST], y) for keys, y in examples]
+        rows, ones = rows + 1, ones + y
     z, n = np.zeros(size), np.zeros(size)
-    bias_z, bias_n, bias = 0.0, 0.0, 0.0
-    ones = sum(y for _, y in kept)
-    heavy = min(3.0, max(1.0, (len(kept) - ones) / max(ones, 1)))
+    bias_z, bias_n, bias = 0.0, 0.0, 0.0 if rows else NO_EXAMPLES
+    heavy = min(3.0, max(1.0, (rows - ones) / max(ones, 1)))
 
     def weights(zi: np.ndarray, ni: np.ndarray) -> np.ndarray:
         return np.where(np.abs(zi) <= L1, 0.0, -(zi - np.sign(zi) * L1) / ((BETA + np.sqrt(ni)) / ALPHA + L2))
 
     for _ in range(passes):
-        for keys, y in kept:
+        for keys, y in examples:
+            keys = keys[seen[keys] >= RAREST]
             zi, ni = z[keys], n[keys]
             w = weights(zi, ni)
             p = 1 / (1 + np.exp(-np.clip(w.sum() + bias, -35, 35)))
@@ -90,19 +95,45 @@ def ftrl(examples: list[tuple[np.ndarray, int]], passes: int = PASSES) -> tuple[
     return used, w[used], float(bias)
 
 
-def _trainer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    rows = [(t, np.frombuffer(k, "<u4").astype(np.int64), y) for b in batches for t, y, k in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True)]
-    rows.sort(key=lambda r: (r[0], len(r[1]), r[1].tobytes(), r[2]))
-    used, w, bias = ftrl([(k, int(y > 0)) for _, k, y in rows])
-    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([[-1], used]), pa.int64()), pa.array(np.concatenate([[bias], w]))], names=["bucket", "weight"])
+class _Rows:
+    """The first ``FIT_ROWS`` (buckets, label) of a folder with one sorted Parquet file, read anew each time, some rows at once."""
+
+    def __init__(self, folder: str) -> None:
+        self.folder = folder
+
+    def __iter__(self) -> Iterator[tuple[np.ndarray, int]]:
+        import pyarrow.dataset as ds
+
+        system, path = filesystem(self.folder)
+        # batches in turn, without reading ahead of them
+        files = ds.dataset(path, format="parquet", filesystem=system)
+        if not files.files:
+            return
+        found = files.to_batches(columns=["keys", "label"], batch_size=32, batch_readahead=0, fragment_readahead=0, use_threads=False)
+        rows = ((k.as_buffer(), y.as_py()) for b in found for k, y in zip(b.column(0), b.column(1), strict=True))
+        for k, y in islice(rows, FIT_ROWS):
+            yield np.frombuffer(k, "<u4"), int(y > 0)
+
+
+def _trainer(folder: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if sum(b.num_rows for b in batches):
+            used, w, bias = ftrl(_Rows(folder))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([[-1], used]), pa.int64()), pa.array(np.concatenate([[bias], w]))], names=["bucket", "weight"])
+
+    return run
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", folds: int = FOLDS) -> dict[int, float]:
     """Weights by bucket, bias at -1, from labelled rows outside the held-out fold.
 
     At most ``FIT_ROWS`` labelled rows, the first by hash of their id, take part, with
-    their whole texts; one task steps through them.
+    their whole texts; one task steps through a sorted file of them, so neither long texts
+    nor repeated ids are held together. Null ids and labels mark nothing; without labelled
+    rows nothing is scored as toxic. Rows equal in id, text and label are alike, so a rerun
+    gives the same weights.
     """
+    spark = docs.sparkSession
     bound_batches(docs.sparkSession)
     fold = F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % folds
     marked = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & (fold != 0)).select(F.col(id_col).alias("row_id"), F.col(label_col).cast("int").alias("label"))
@@ -110,8 +141,9 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     sample = marked.orderBy(turn, "row_id", "label").limit(FIT_ROWS)
     fit = docs.select(F.col(id_col).alias("row_id"), F.col(text_col).cast("binary").alias("text")).join(F.broadcast(sample), "row_id")  # at most FIT_ROWS rows
     keys = fit.select(turn.alias("turn"), "label", "text").mapInArrow(_features, "turn long, label int, keys binary")
-    few = keys.orderBy("turn").limit(FIT_ROWS)  # repeated ids add no more rows than that
-    return dict(few.repartition(1).mapInArrow(_trainer, "bucket long, weight double").collect())
+    folder = new_folder(spark, "fit")
+    keys.repartition(1).sortWithinPartitions("turn", F.length("keys"), "keys", "label").write.option("parquet.block.size", 4 << 20).parquet(folder)
+    return dict(spark.range(0, 1, 1, 1).mapInArrow(_trainer(folder), "bucket long, weight double").collect())
 
 
 def _scorer(shared):
@@ -136,7 +168,7 @@ def _scorer(shared):
 def _broadcast(spark, weights: dict[int, float]):
     bound_batches(spark)
     used = sorted(k for k in weights if k >= 0)
-    return spark.sparkContext.broadcast((np.array(used, np.int64), np.array([weights[k] for k in used]), weights.get(-1, -35.0)))
+    return spark.sparkContext.broadcast((np.array(used, np.int64), np.array([weights[k] for k in used]), weights.get(-1, NO_EXAMPLES)))
 
 
 def score_toxicity(docs: DataFrame, weights: dict[int, float], id_col: str = "doc_id", text_col: str = "text", folds: int = FOLDS) -> DataFrame:
@@ -154,6 +186,7 @@ def score_toxicity(docs: DataFrame, weights: dict[int, float], id_col: str = "do
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
+    """Scores of all documents by a model fitted on the labels; odd input as in ``fit_toxicity`` and ``score_toxicity``."""
     return score_toxicity(docs, fit_toxicity(docs, labels, id_col, text_col, label_col), id_col, text_col)
 
 
@@ -170,7 +203,11 @@ def _dropper(shared, text_at: int):
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
-    """The documents, all their columns, without those predicted toxic."""
+    """The documents, all their columns, without those predicted toxic.
+
+    Null and empty texts have the score of the bias alone; null ids and repeated rows are
+    judged by their text like any other; an empty table gives an empty result.
+    """
     shared = _broadcast(docs.sparkSession, fit_toxicity(docs, labels, id_col, text_col, label_col))
     return docs.mapInArrow(_dropper(shared, docs.columns.index(text_col)), docs.schema)
 

@@ -1,14 +1,15 @@
 from __future__ import annotations
 
+import math
 import random
 import re
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
 
-from brindle.llm import quality, toxicity
+from brindle.llm import quality, toxicity, words
 from tests.llm.cases import clashing, odd_docs, odd_rows, sentence
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -141,3 +142,107 @@ def test_queries(spark, sf, name):
     assert sorted(r.doc_id for r in got) == sorted(r[0] for r in rows)
     if name == "op10_quality":
         check_rules(rows, got)
+
+
+def plain_hash(word: bytes) -> int:
+    """The word hash, byte by byte."""
+    total, power = 0, 1
+    for b in word:
+        total += int(toxicity._HASH.value[b]) * power
+        power = power * int(words._BASE) % 2**64
+    return plain_mix(total % 2**64)
+
+
+def plain_mix(h: int) -> int:
+    h = (h ^ h >> 30) * 0xBF58476D1CE4E5B9 % 2**64
+    h = (h ^ h >> 27) * 0x94D049BB133111EB % 2**64
+    return h ^ h >> 31
+
+
+def plain_features(text) -> list[int]:
+    blank = bytes(32 if c in words.PUNCTUATION + words.SPACES else c for c in range(256))
+    h = [plain_hash(w) for w in (text or "").encode().translate(blank).split()]
+    keys = set(h)
+    for gap, (a, b) in ((1, toxicity._PAIR), (2, toxicity._SKIP)):
+        keys |= {plain_mix((x * int(a) + y * int(b)) % 2**64) for x, y in zip(h, h[gap:], strict=False)}
+    return sorted({k >> 64 - toxicity.BITS for k in keys})
+
+
+def plain_ftrl(examples):
+    """FTRL-proximal, one coordinate at a time, as published."""
+    seen = Counter(k for keys, _ in examples for k in keys)
+    z, n = defaultdict(float), defaultdict(float)
+    ones = sum(y for _, y in examples)
+    heavy = min(3.0, max(1.0, (len(examples) - ones) / max(ones, 1)))
+
+    def weight(k):
+        if k == -1:
+            return -z[k] / ((toxicity.BETA + n[k] ** 0.5) / toxicity.ALPHA) if n[k] else 0.0
+        if abs(z[k]) <= toxicity.L1:
+            return 0.0
+        return -(z[k] - math.copysign(toxicity.L1, z[k])) / ((toxicity.BETA + n[k] ** 0.5) / toxicity.ALPHA + toxicity.L2)
+
+    for _ in range(toxicity.PASSES):
+        for keys, y in examples:
+            keys = [-1, *(k for k in keys if seen[k] >= toxicity.RAREST)]
+            w = {k: weight(k) for k in keys}
+            g = (1 / (1 + math.exp(-max(-35, min(35, sum(w.values()))))) - y) * (heavy if y else 1.0)
+            for k in keys:
+                sigma = ((n[k] + g * g) ** 0.5 - n[k] ** 0.5) / toxicity.ALPHA
+                z[k] += g - sigma * w[k]
+                n[k] += g * g
+    return {k: weight(k) for k in list(z) if k == -1 or weight(k)}
+
+
+def test_op9_by_brute_force(spark, sf):
+    from brindle.llm.queries import QUERIES
+
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    turn = {r[0]: r[1] for r in spark.read.parquet(f"{sf}/documents.parquet").selectExpr("doc_id", "xxhash64(doc_id)").collect()}
+    marked = [(turn[r.doc_id], plain_features(docs[r.doc_id]), int(r.toxic > 0)) for r in spark.read.parquet(f"{sf}/labels.parquet").collect() if r.toxic is not None and r.doc_id in docs and zlib.crc32(str(r.doc_id).encode()) % 5]
+    weights = plain_ftrl([(keys, y) for _, keys, y in sorted(marked, key=lambda m: m[0])])
+    fitted = toxicity.fit_toxicity(spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet"))
+    assert set(fitted) == set(weights) and all(abs(fitted[k] - w) < 1e-9 for k, w in weights.items())
+    for r in QUERIES["op9_toxicity"](spark, sf).collect():
+        total = weights[-1] + sum(weights.get(k, 0.0) for k in plain_features(docs[r.doc_id]))
+        assert abs(r.score - 1 / (1 + math.exp(-max(-35, min(35, total))))) < 1e-9
+        assert r.predicted == int(r.score >= 0.5) and r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0)
+
+
+def test_forest_scores_by_brute_force():
+    rng = np.random.default_rng(8)
+    rows = rng.normal(size=(300, 3)).round(1)
+    forest = quality.IsolationForest(rows, 20, 64, 3)
+
+    def expected(n):
+        return 0.0 if n < 2 else 1.0 if n == 2 else 2 * (math.log(n - 1) + 0.5772156649) - 2 * (n - 1) / n
+
+    def path(tree, row):
+        feature, value, child = tree
+        node = 0
+        while feature[node] >= 0:
+            node = child[node] + (row[feature[node]] >= value[node])
+        return value[node]
+
+    for row, score in zip(rows, forest.scores(rows), strict=True):
+        mean = sum(path(t, row) for t in forest.trees) / 20
+        assert abs(score - 2 ** (-mean / expected(64))) < 1e-12
+    # a leaf's length is its depth and the expected rest for the rows of the sample that end there
+    sample = rows[:64]
+    whole = quality.IsolationForest(sample, 5, 64, 4)
+    for tree in whole.trees:
+        feature, value, child = tree
+        stack = [(0, sample, 0)]
+        while stack:
+            node, part, depth = stack.pop()
+            if feature[node] < 0:
+                assert abs(value[node] - depth - expected(len(part))) < 1e-12
+                assert depth == whole.limit or len(part) <= 1 or (part == part[0]).all()
+                continue
+            right = part[:, feature[node]] >= value[node]
+            stack += [(child[node], part[~right], depth + 1), (child[node] + 1, part[right], depth + 1)]
+
+
+def test_without_labels_nothing_is_toxic(spark):
+    docs = odd_docs(spark)
+    assert toxicity.drop_toxic(docs, spark.createDataFrame([], LABELS)).count() == docs.count()
