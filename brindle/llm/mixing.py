@@ -127,12 +127,12 @@ def plan_mix(
     )
 
 
-def order_mix(plan: DataFrame, id_col: str = "doc_id") -> DataFrame:
+def order_mix(plan: DataFrame, id_col: str = "doc_id", position_col: str = "position") -> DataFrame:
     """Range-sort by training position: partition k precedes partition k + 1, and within one rows ascend.
 
     Documents without a position come last; a hash of the id deals them and ties out over partitions.
     """
-    order = [F.col("position").asc_nulls_last(), F.xxhash64(id_col)]
+    order = [F.col(position_col).asc_nulls_last(), F.xxhash64(id_col)]
     return plan.repartitionByRange(partitions(plan.sparkSession), *order).sortWithinPartitions(*order)
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .runtime import cut, stored
+from .runtime import cut, stored, unused
 from .words import Hasher, mix, slices, texts, windows
 
 #: Coordinates of a signature; coordinates that a pair must share to be confirmed on its
@@ -278,14 +278,19 @@ def near_duplicates(docs: DataFrame, width: int = 5, id_col: str = "doc_id", tex
 
 
 def keep_one(docs: DataFrame, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents without near duplicates: of each component the row with the least id stays; blank ones all stay."""
+    """The documents without near duplicates: of each component the row with the least id stays; blank ones all stay.
+
+    Null ids come after all others; of rows equal in id and text one stays. Columns of any
+    name are kept as they are; an empty table gives an empty result.
+    """
     found = near_duplicates(docs, width, id_col, text_col).filter("root is not null")
     best = found.groupBy("root").agg(F.min(F.struct(F.col("row_id").isNull().alias("none"), "row_id", "text_key")).alias("best"))
     best = cut(best.select(F.col("best.row_id").alias("best_id"), F.col("best.text_key").alias("best_key")))
     word = F.coalesce(F.col(text_col).rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
-    full = docs.filter(word).withColumn("best_key", _text_key(text_col))
-    kept = full.join(best, full[id_col].eqNullSafe(best["best_id"]) & (full["best_key"] == best["best_key"]), "left_semi")
-    return kept.dropDuplicates([id_col, "best_key"]).drop("best_key").unionByName(docs.filter(~word))
+    key = unused("best_key", docs.columns)
+    full = docs.filter(word).withColumn(key, _text_key(text_col))
+    kept = full.join(best, full[id_col].eqNullSafe(best["best_id"]) & (full[key] == best["best_key"]), "left_semi")
+    return kept.dropDuplicates([id_col, key]).drop(key).unionByName(docs.filter(~word))
 
 
 def op4_near_dedup(spark, sf_dir: str) -> DataFrame:

@@ -1,8 +1,8 @@
 """Shared folders, checkpoints, ranged prefix sums and file access for the corpus operators.
 
 Everything that outlives a task goes to the folder named by ``spark.checkpoint.dir``.
-Only where that setting is absent (tests, notebooks on one machine) is a temporary
-folder made.
+Only where that setting is absent on one machine (tests, notebooks) is a temporary
+folder made; a cluster without it is an error.
 """
 
 from __future__ import annotations
@@ -25,11 +25,21 @@ def shared_dir(spark: SparkSession) -> str:
         return configured.rstrip("/")
     current = spark.sparkContext.getCheckpointDir()
     if current is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="brindle-"))
         current = spark.sparkContext.getCheckpointDir()
     return current.rstrip("/")
 
 
+def unused(name: str, columns: Sequence[str]) -> str:
+    """The name, with underscores if a column has it (names differ by more than case)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def new_folder(spark: SparkSession, kind: str) -> str:
     """A fresh path under the shared folder. Nothing is created yet."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))

@@ -2,7 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; the result is written as
 Parquet and read again as the next stage's docs. All but the last return the columns of
-documents.
+documents, whatever their names. Null ids, null and empty texts, repeated rows and empty
+tables go through as each operator says in its docstring.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 from brindle.llm.decontam import decontaminate
 from brindle.llm.mixing import order_mix, plan_mix
 from brindle.llm.near_dedup import keep_one
-from brindle.llm.runtime import stored
+from brindle.llm.runtime import stored, unused
 from brindle.llm.token_files import read_tokens, tokenizer_file, write_tokens
 from brindle.llm.toxicity import drop_toxic
 
@@ -34,10 +35,10 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the mix takes, as often as it takes them, in training order."""
-    plan = plan_mix(docs, keep=docs.columns)
-    taken = plan.select(*(F.col(f"kept_{c}").alias(c) for c in docs.columns), F.explode("positions").alias("position"))
-    return order_mix(taken).select(*docs.columns)
+    """The documents that the mix takes, as often as it takes them, in training order; empty ones have no words to take."""
+    plan, position = plan_mix(docs, keep=docs.columns), unused("position", docs.columns)
+    taken = plan.select(*(F.col(f"kept_{c}").alias(c) for c in docs.columns), F.explode("positions").alias(position))
+    return order_mix(taken, position_col=position).select(*docs.columns)
 
 
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

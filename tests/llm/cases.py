@@ -29,7 +29,7 @@ def clashing(df):
     """The same rows with columns named like those that operators make."""
     from pyspark.sql import functions as F
 
-    for c in ("row_id", "text_key", "size", "shard", "host", "path", "cls", "n", "key", "keys", "root", "digest", "before_size", "kept", "score", "position", "taken", "copies", "words", "page", "payload", "range", "at"):
+    for c in ("row_id", "text_key", "size", "shard", "host", "path", "cls", "n", "key", "keys", "root", "digest", "before_size", "kept", "score", "position", "taken", "copies", "words", "page", "payload", "range", "at", "best_key", "Position", "label", "turn", "list", "node", "bucket", "component_id"):
         df = df.withColumn(c, F.lit("clash"))
     return df
 

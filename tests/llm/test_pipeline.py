@@ -7,7 +7,8 @@ import pytest
 from tokenizers import Tokenizer
 
 from brindle.llm import decontam, near_dedup, token_files, toxicity
-from tests.llm.cases import odd_docs
+from brindle.llm.runtime import stored
+from tests.llm.cases import clashing, odd_docs
 
 pipeline = pytest.importorskip("corpus_pipeline")
 
@@ -49,3 +50,14 @@ def test_run_and_odd_rows(spark, sf):
         for _, stage in pipeline.STAGES:
             out = stage(spark, out, sf)
         assert out.count() <= 2 * docs.count()
+
+
+def test_clashing_columns_change_nothing(spark, sf, tmp_path):
+    plain, out = odd_docs(spark), clashing(odd_docs(spark))
+    for name, stage in pipeline.STAGES:
+        columns, last = out.columns, name == pipeline.STAGES[-1][0]
+        plain, out = stored(stage(spark, plain, sf), name), stored(stage(spark, out, sf), name)
+        assert last or out.columns == columns
+        rows = lambda df: sorted(map(repr, df.select(*plain.columns).collect()))
+        assert rows(out) == rows(plain)
+        assert last or {r.best_key for r in out.select("best_key").collect()} <= {"clash"}
