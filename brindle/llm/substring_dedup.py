@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -120,7 +121,7 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return data[offsets[0] : offsets[-1]].view(np.uint16).reshape(len(column), CONTEXT) if len(column) else np.zeros((0, CONTEXT), np.uint16)
 
 
-def _anchors(marked: bool) -> Callable:
+def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """From (text_key, keys, text): the anchors of shared windows that meet one of another function, with their contexts.
 
     The interval join: a window holds the passages that start in an interval; where such
@@ -128,52 +129,49 @@ def _anchors(marked: bool) -> Callable:
     with others. The context has the words of these passages as 16-bit hashes around the
     anchor, 0 beyond them.
     """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            names = batch.column(0).to_numpy()
-            sizes = np.diff(batch.column(1).offsets.to_numpy())
-            flat, begins = batch.column(1).flatten().to_numpy(), np.concatenate([[0], np.cumsum(sizes)])
-            data, offsets = texts(batch.column(2))
-            for lo, hi in slices(offsets):
-                yield from found(names[lo:hi], flat[begins[lo] : begins[hi]], sizes[lo:hi], data, offsets[lo : hi + 1])
-
-    def found(names: np.ndarray, flat: np.ndarray, sizes: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> Iterator[pa.RecordBatch]:
-        hashes, _, words = _HASH.rows(data, offsets)
-        shingles, borders = windows(hashes, words, WIDTH)
-        short = np.maximum(hashes >> np.uint64(48), np.uint64(1)).astype(np.uint16)
-        salt = mix(np.arange(1, len(names) + 1, dtype=np.uint64))
-        wanted = mix((flat.view(np.uint64) & ~np.uint64(1)) ^ np.repeat(salt, sizes))
-        order = np.argsort(wanted)
-        wanted, flat = wanted[order], flat[order]
-        if not len(wanted):
-            return
-        starts, shared = np.zeros(len(shingles) + 1, np.int32), []
-        for f in range(HASHES):
-            values = mix(shingles * _ODD[f])
-            left, c, right = compact_windows(values, borders)
-            of = np.searchsorted(borders, c, "right") - 1
-            probe = mix(_list_key(values[c], f).view(np.uint64) ^ salt[of])
-            at = np.minimum(np.searchsorted(wanted, probe), len(wanted) - 1)
-            hit = wanted[at] == probe
-            low, high = np.maximum(left, c - REACH)[hit], np.minimum(c, right - REACH)[hit]
-            starts[low] += 1
-            starts[high + 1] -= 1
-            if f < LISTED:
-                shared.append((flat[at[hit]], of[hit], c[hit], low, high))
-        enough = np.flatnonzero(np.cumsum(starts[:-1]) >= ENOUGH)
-        key, of, c, low, high = (np.concatenate(v) for v in zip(*shared, strict=True))
-        first, last = np.searchsorted(enough, low), np.searchsorted(enough, high, "right") - 1
-        keep = np.flatnonzero((first <= last) & ((key & 1) == marked))
-        for k in range(0, len(keep), AT_ONCE):
-            some = keep[k : k + AT_ONCE]
-            base = (words[:-1] - borders[:-1])[of[some]]
-            index = (c[some] + base)[:, None] + np.arange(-REACH, PASSAGE)
-            inside = (index >= (enough[first[some]] + base)[:, None]) & (index < (enough[last[some]] + base + PASSAGE)[:, None])
-            context = np.where(inside, short[np.clip(index, 0, len(short) - 1)], np.uint16(0))
-            yield pa.RecordBatch.from_arrays([pa.array(key[some]), pa.array(names[of[some]]), pa.array((c[some] - borders[of[some]]).astype(np.int32)), _binary(context)], names=["key", "text_key", "c", "context"])
-
-    return run
+    for batch in batches:
+        names = batch.column(0).to_numpy()
+        sizes = np.diff(batch.column(1).offsets.to_numpy())
+        flat, begins = batch.column(1).flatten().to_numpy(), np.concatenate([[0], np.cumsum(sizes)])
+        data, offsets = texts(batch.column(2))
+        for lo, hi in slices(offsets):
+            yield from _met_in(names[lo:hi], flat[begins[lo] : begins[hi]], sizes[lo:hi], data, offsets[lo : hi + 1])
+
+
+def _met_in(names: np.ndarray, flat: np.ndarray, sizes: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> Iterator[pa.RecordBatch]:
+    hashes, _, words = _HASH.rows(data, offsets)
+    shingles, borders = windows(hashes, words, WIDTH)
+    short = np.maximum(hashes >> np.uint64(48), np.uint64(1)).astype(np.uint16)
+    salt = mix(np.arange(1, len(names) + 1, dtype=np.uint64))
+    wanted = mix((flat.view(np.uint64) & ~np.uint64(1)) ^ np.repeat(salt, sizes))
+    order = np.argsort(wanted)
+    wanted, flat = wanted[order], flat[order]
+    if not len(wanted):
+        return
+    starts, shared = np.zeros(len(shingles) + 1, np.int32), []
+    for f in range(HASHES):
+        values = mix(shingles * _ODD[f])
+        left, c, right = compact_windows(values, borders)
+        of = np.searchsorted(borders, c, "right") - 1
+        probe = mix(_list_key(values[c], f).view(np.uint64) ^ salt[of])
+        at = np.minimum(np.searchsorted(wanted, probe), len(wanted) - 1)
+        hit = wanted[at] == probe
+        low, high = np.maximum(left, c - REACH)[hit], np.minimum(c, right - REACH)[hit]
+        starts[low] += 1
+        starts[high + 1] -= 1
+        if f < LISTED:
+            shared.append((flat[at[hit]], of[hit], c[hit], low, high))
+    enough = np.flatnonzero(np.cumsum(starts[:-1]) >= ENOUGH)
+    key, of, c, low, high = (np.concatenate(v) for v in zip(*shared, strict=True))
+    first, last = np.searchsorted(enough, low), np.searchsorted(enough, high, "right") - 1
+    keep = np.flatnonzero(first <= last)
+    for k in range(0, len(keep), AT_ONCE):
+        some = keep[k : k + AT_ONCE]
+        base = (words[:-1] - borders[:-1])[of[some]]
+        index = (c[some] + base)[:, None] + np.arange(-REACH, PASSAGE)
+        inside = (index >= (enough[first[some]] + base)[:, None]) & (index < (enough[last[some]] + base + PASSAGE)[:, None])
+        context = np.where(inside, short[np.clip(index, 0, len(short) - 1)], np.uint16(0))
+        yield pa.RecordBatch.from_arrays([pa.array(key[some]), pa.array(names[of[some]]), pa.array((c[some] - borders[of[some]]).astype(np.int32)), _binary(context)], names=["key", "text_key", "c", "context"])
 
 
 def seeds(context: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -265,6 +263,8 @@ def stretches(p: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
 
 
 _STRETCH = "p long, x long, shift int, low int, high int"
+#: Stretches, or with a key the entries of long lists: text, place and context.
+_MET = _STRETCH + ", key long, context binary"
 
 
 def _stretch_rows(p: np.ndarray, x: np.ndarray, p_c: np.ndarray, x_c: np.ndarray, p_context: np.ndarray, x_context: np.ndarray) -> pa.RecordBatch:
@@ -297,8 +297,17 @@ def _whole_groups(batches: Iterator[pa.RecordBatch], columns: int, least: int =
 
 
 def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From entries in order of (key, text_key, c): stretches of the pairs that tie the parts of each list."""
+    """From entries in order of (key, text_key, c): stretches of the pairs that tie the parts of each list; those of marked lists as they are."""
+    names = ["p", "x", "shift", "low", "high", "key", "context"]
     for batch in _whole_groups(batches, 1, BATCH):
+        long = pa.array((batch.column(0).to_numpy() & 1).astype(bool))
+        if long.true_count:
+            some = batch.filter(long)
+            nothing = [pa.nulls(some.num_rows, t) for t in (pa.int64(), pa.int32(), pa.int32())]
+            yield pa.RecordBatch.from_arrays([some.column(1), nothing[0], some.column(2), *nothing[1:], some.column(0), some.column(3)], names=names)
+            batch = batch.filter(pc.invert(long))
+        if not batch.num_rows:
+            continue
         key, text, c = (batch.column(k).to_numpy() for k in range(3))
         context = _matrix(batch.column(3))
         lists = mix(key.view(np.uint64))
@@ -315,7 +324,8 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = np.unique(np.concatenate(codes))
         for k in range(0, len(code), AT_ONCE):
             p, x = code[k : k + AT_ONCE] // len(key), code[k : k + AT_ONCE] % len(key)
-            yield _stretch_rows(text[p], text[x], c[p], c[x], context[p], context[x])
+            rows = _stretch_rows(text[p], text[x], c[p], c[x], context[p], context[x])
+            yield pa.RecordBatch.from_arrays([*rows.columns, pa.nulls(rows.num_rows, pa.int64()), pa.nulls(rows.num_rows, pa.binary())], names=names)
 
 
 def _seed_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -459,11 +469,15 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     posts, of_list = rows.mapInArrow(_posts, _POST), Window.partitionBy("key")
     posts = posts.select("key", "text_key", F.min("text_key").over(of_list).alias("a"), F.max("text_key").over(of_list).alias("b"), (F.sum("times").over(of_list) > LIST).cast("long").alias("long"))
     own = stored(posts.filter("a < b").groupBy("text_key").agg(F.collect_set(F.col("key").bitwiseOR(F.col("long"))).alias("keys"), F.max("long").alias("long")), "text-lists")
-    whole = _whole_texts(rows, own)
-    entries = lambda marked: own.filter(f"long >= {int(marked)}").join(whole, "text_key").select("text_key", "keys", "text").mapInArrow(_anchors(marked), _ENTRY)
-    met = entries(False).repartition(n, "key").sortWithinPartitions("key", "text_key", "c").mapInArrow(_compared, _STRETCH)
+    entries = own.join(_whole_texts(rows, own), "text_key").select("text_key", "keys", "text").mapInArrow(_anchors, _ENTRY)
+    # long lists are not brought together
+    apart = F.when(F.col("key").bitwiseAND(F.lit(1)) == 1, F.col("text_key")).otherwise(0)
+    met = entries.repartition(n, "key", apart).sortWithinPartitions("key", "text_key", "c").mapInArrow(_compared, _MET)
     if not own.filter("long = 1").isEmpty():
-        met = stored(met, "stretches").unionByName(_dealt(stored(entries(True), "long-lists")))
+        met = stored(met, "stretches")
+        long = met.filter("key is not null").select("key", F.col("p").alias("text_key"), F.col("shift").alias("c"), "context")
+        met = met.filter("key is null").select("p", "x", "shift", "low", "high").unionByName(_dealt(long))
+    met = met.select("p", "x", "shift", "low", "high")
     found = stored(met.repartition(n, "p", "x").sortWithinPartitions("p", "x", "shift", "low").mapInArrow(_merged, _FOUND), "found")
     return _by_document(docs, *_classes(found), id_col, text_col)
 

@@ -138,7 +138,7 @@ def test_texts_of_32_mb_and_more():
     both = np.intersect1d(key[text == 1], key[text == 2])
     assert len(both) >= sd.HASHES
     batch = pa.RecordBatch.from_pydict({"text_key": [1, 2], "keys": [both.tolist()] * 2, "text": [long.encode(), passage.encode()]})
-    entries = pa.Table.from_batches(sd._anchors(False)([batch])).sort_by([("key", "ascending"), ("text_key", "ascending"), ("c", "ascending")])
+    entries = pa.Table.from_batches(sd._anchors([batch])).sort_by([("key", "ascending"), ("text_key", "ascending"), ("c", "ascending")])
     met = pa.Table.from_batches(sd._compared(entries.combine_chunks().to_batches()[:1])).sort_by([(c, "ascending") for c in ("p", "x", "shift", "low")])
     found = pa.Table.from_batches(sd._merged(met.combine_chunks().to_batches()))
     assert (1, 2, 3_400_000, 3_400_080, 0, 80) in set(zip(*(c.to_pylist() for c in found.columns), strict=True))
