@@ -16,7 +16,7 @@ from brindle.functions.vectors import score
 from brindle.operators import bow, spatial
 from brindle.operators.relational import aggregate_column, group_aggregate, hash_join, ordered, two_valued
 from brindle.operators.text import TextIndex, precision_recall, scan_bm25
-from brindle.operators.vector import IVFIndex, graph_top_k, recall_at_k, top_k, top_k_batch
+from brindle.operators.vector import IVFIndex, graph_top_k, top_k, top_k_batch
 from brindle.plans.dialect import Database
 from brindle.streaming.index_maintenance import windowed_events
 from brindle.tables import deleted, inserted, load, updated
@@ -235,10 +235,10 @@ def spatial_knn(spark, d):
     return spatial.knn(points(spark, d), 10.0, 20.0, 20, "c_custkey").select("c_custkey", F.round("distance", 6).alias("dist"))
 
 
-@query(f"with p as ({_POINTS}), q as (select c_custkey as query_id, x as qx, y as qy from p where c_custkey <= 25), r as (select query_id, c_custkey, round(sqrt((x - qx) * (x - qx) + (y - qy) * (y - qy)), 6) as dist, row_number() over (partition by query_id order by sqrt((x - qx) * (x - qx) + (y - qy) * (y - qy)), x, y, c_custkey)::int as rank from p, q) select * from r where rank <= 5")
+@query(f"with p as ({_POINTS}), q as (select c_custkey as query_id, x as qx, y as qy from p where c_custkey % 20 = 0), r as (select query_id, c_custkey, round(sqrt((x - qx) * (x - qx) + (y - qy) * (y - qy)), 6) as dist, row_number() over (partition by query_id order by sqrt((x - qx) * (x - qx) + (y - qy) * (y - qy)), x, y, c_custkey)::int as rank from p, q) select * from r where rank <= 5")
 def spatial_knn_batch(spark, d):
     p = points(spark, d)
-    q = p.filter("c_custkey <= 25").select(F.col("c_custkey").alias("query_id"), F.col("x").alias("qx"), F.col("y").alias("qy"))
+    q = p.filter("c_custkey % 20 = 0").select(F.col("c_custkey").alias("query_id"), F.col("x").alias("qx"), F.col("y").alias("qy"))
     return spatial.knn_batch(p, q, 5, "c_custkey").select("query_id", "c_custkey", F.round("distance", 6).alias("dist"), "rank")
 
 
@@ -306,14 +306,14 @@ def text_full_universe(spark, d):
     return documents_index(spark, d).top_k("onre", 30).withColumn("score", F.round("score", 6))
 
 
-_BATCH = f"""with {_CORPUS}, q as (select item_id, term, count(*)::double as qtf from (select item_id, unnest({_TOKENS}) as term from benchmark where item_id < 20) group by all),
+_BATCH = f"""with {_CORPUS}, q as (select item_id, term, count(*)::double as qtf from (select item_id, unnest({_TOKENS}) as term from benchmark where item_id % 20 = 0) group by all),
 s as (select item_id, doc_id, sum(qtf * ln(1.0::double + (n - df + 0.5::double) / (df + 0.5::double)) * (tf * 2.2::double / (tf + 1.2::double * (0.25::double + 0.75::double * length / avg_length)))) as score
 from post join q using (term) join dfs using (term) join lens using (doc_id), tot group by all),
 r as (select *, row_number() over (partition by item_id order by round(score, 9) desc, doc_id) as rank from s)"""
 
 
 def _batch(spark, d) -> DataFrame:
-    return documents_index(spark, d).match_batch(load(spark, d, "benchmark").filter("item_id < 20"), 10, "item_id", "text")
+    return documents_index(spark, d).match_batch(load(spark, d, "benchmark").filter("item_id % 20 = 0"), 10, "item_id", "text")
 
 
 @query(_BATCH + " select item_id, doc_id, rank::int as rank, round(score, 6) as score from r where rank <= 10")
@@ -326,7 +326,7 @@ select item_id, count(rank)::bigint as hits, count(rank) / 10.0::double as preci
 from (select item_id, doc_id, g, case when g then rank end as rank from (select item_id, doc_id, true as g from good) full join (select item_id, doc_id, rank from r where rank <= 10) using (item_id, doc_id)) group by 1""")
 def text_precision_at_k(spark, d):
     ranked = _batch(spark, d)
-    items = load(spark, d, "benchmark").filter("item_id < 20").select("item_id")
+    items = load(spark, d, "benchmark").filter("item_id % 20 = 0").select("item_id")
     good = load(spark, d, "labels").filter("quality = 1").withColumn("slot", F.col("doc_id") % 20).join(items.withColumn("slot", F.col("item_id") % 20), "slot").select("item_id", "doc_id")
     return precision_recall(ranked, good, 10, "item_id", "doc_id")
 
@@ -367,10 +367,10 @@ def vec_graph_contract(spark, d):
     return graph_top_k(load(spark, d, "embeddings"), _first_vector(spark, d), 10, "vec_id", "embedding").withColumn("score", F.round("score", 6))
 
 
-@query("with q as (select vec_id as query_id, embedding::double[] as v from embeddings where vec_id < 50), r as (select query_id, vec_id, list_cosine_similarity(embedding::double[], v) as s, row_number() over (partition by query_id order by round(list_cosine_similarity(embedding::double[], v), 9) desc, vec_id) as rank from embeddings, q) select query_id, vec_id, round(s, 6) as score, rank::int as rank from r where rank <= 5")
+@query("with q as (select vec_id as query_id, embedding::double[] as v from embeddings where vec_id % 20 = 0), r as (select query_id, vec_id, list_cosine_similarity(embedding::double[], v) as s, row_number() over (partition by query_id order by round(list_cosine_similarity(embedding::double[], v), 9) desc, vec_id) as rank from embeddings, q) select query_id, vec_id, round(s, 6) as score, rank::int as rank from r where rank <= 5")
 def vec_batch_topk(spark, d):
     e = load(spark, d, "embeddings")
-    found = top_k_batch(e, e.filter("vec_id < 50").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("v")), 5, "vec_id", "embedding", "qid", "v", "cosine")
+    found = top_k_batch(e, e.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("v")), 5, "vec_id", "embedding", "qid", "v", "cosine")
     return found.select("query_id", "vec_id", F.round("score", 6).alias("score"), "rank")
 
 
@@ -392,17 +392,13 @@ def vec_ivf_trained(spark, d):
     return index.top_k(_first_vector(spark, d), 10, nprobe=index.enough(10, least=8))
 
 
-@query(f"with {_LISTS}, qs as (select vec_id as query_id, embedding::double[] as q from embeddings where vec_id < 5), probe as (select query_id, i from (select query_id, i, row_number() over (partition by query_id order by round(list_distance(c, q), 9), i) as r from c, qs) where r <= 4), ann as (select query_id, vec_id from (select query_id, vec_id, row_number() over (partition by query_id order by round(list_distance(embedding::double[], q), 9), vec_id) as r from lists join probe on list_id = i join qs using (query_id)) where r <= 10), exact as (select query_id, vec_id from (select query_id, vec_id, row_number() over (partition by query_id order by round(list_distance(embedding::double[], q), 9), vec_id) as r from embeddings, qs) where r <= 10) select query_id, count(ann.vec_id) / 10.0::double as recall from exact left join ann using (query_id, vec_id) group by 1")
+@query(f"with {_LISTS}, qs as (select vec_id as query_id, embedding::double[] as q from embeddings where vec_id % 20 = 0), probe as (select query_id, i, row_number() over (partition by query_id order by round(1 / (1 + list_distance(c, q)), 9) desc, i) as r from c, qs), exact as (select query_id, vec_id from (select query_id, vec_id, row_number() over (partition by query_id order by round(list_distance(embedding::double[], q), 9), vec_id) as r from embeddings, qs) where r <= 10), got as (select r from exact join lists using (vec_id) join probe on probe.query_id = exact.query_id and i = list_id) select n::int as nprobe, round(count(*) filter (r <= n) / count(*), 6) as recall from got, range(1, 17) as t(n) group by n")
 def vec_recall_at_k(spark, d):
+    """Mean recall@10 by the number of lists probed: ids divisible by 20 against all rows."""
     e = load(spark, d, "embeddings")
     centres = [list(r[0]) for r in e.filter("vec_id < 16").orderBy("vec_id").select("embedding").collect()]
-    index = IVFIndex.build(e, "vec_id", "embedding", centroids=centres)
-    found = None
-    for q in range(5):
-        one = index.top_k(_first_vector(spark, d, q), 10, nprobe=4).select(F.lit(q).cast("long").alias("query_id"), "vec_id")
-        found = one if found is None else found.unionByName(one)
-    exact = top_k_batch(e, e.filter("vec_id < 5").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("v")), 10, "vec_id", "embedding", "qid", "v")
-    return recall_at_k(found, exact, 10, "query_id", "vec_id")
+    recalls = IVFIndex.build(e, "vec_id", "embedding", centroids=centres).recalls(10)
+    return spark.createDataFrame([(k + 1, round(float(r), 6)) for k, r in enumerate(recalls)], "nprobe int, recall double")
 
 
 @query("select vec_id, round(list_cosine_similarity(embedding::double[], q), 6) as score from embeddings, " + _Q0)
@@ -442,6 +438,23 @@ def sql_spatial(spark, d):
     return out.withColumn("dist", F.round("dist", 6))
 
 
+@query(f"select c_nationkey, round(max(dist), 6) as far, count(*) as n from (select c_nationkey, sqrt((x - 20.0) * (x - 20.0) + (y - 10.0) * (y - 10.0)) as dist from ({_POINTS}) p join customer using (c_custkey)) where dist <= 60 group by 1")
+def sql_radius(spark, d):
+    db = Database(spark)
+    places = points(spark, d).select("c_custkey", F.struct("x", "y").alias("place"))
+    db.store.attach("places", places.join(load(spark, d, "customer").select("c_custkey", "c_nationkey"), "c_custkey"))
+    out = db.execute("SELECT c_nationkey, MAX(DISTANCE(place, POINT(10, 20))) AS far, COUNT(*) AS n FROM places WHERE DISTANCE(place, POINT(10, 20)) <= 60 GROUP BY c_nationkey")
+    return out.withColumn("far", F.round("far", 6))
+
+
+@query("select o_orderkey from orders where o_orderkey % 7 = 0 or not (o_orderpriority = '1-URGENT' or o_totalprice < 100000)")
+def sql_not_null(spark, d):
+    """NOT over a null: what is unknown does not hold."""
+    db = Database(spark)
+    db.store.attach("some", load(spark, d, "orders").withColumn("o_totalprice", F.expr("if(o_orderkey % 7 = 0, null, o_totalprice)")).withColumn("o_orderpriority", F.expr("if(o_orderkey % 7 = 0, null, o_orderpriority)")))
+    return db.execute("SELECT o_orderkey FROM some WHERE NOT (o_orderpriority = '1-URGENT' OR o_totalprice < 100000)")
+
+
 @query()
 def sql_ranked_text(spark, d):
     db = database(spark, d, "documents")
