@@ -23,8 +23,10 @@ BLOCK = 1 << 16
 WORDS_KEPT = 300_000
 #: ASCII and Latin-1 letters, then ASCII punctuation; such letters are in normal form.
 _PLAIN_RUN = re.compile(rb"((?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([!-/:-@\[-`{-~]+)?")
-#: The definition for which plain runs are understood.
+#: The definition whose texts may be taken apart at blanks, all of it but for the vocabulary.
 _PLAIN_PARTS = {
+    "truncation": None,
+    "padding": None,
     "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
     "pre_tokenizer": {
         "type": "Sequence",
@@ -35,18 +37,38 @@ _PLAIN_PARTS = {
     },
     "post_processor": None,
 }
+_PLAIN_MODEL = {
+    "type": "BPE",
+    "dropout": None,
+    "unk_token": None,
+    "continuing_subword_prefix": None,
+    "end_of_word_suffix": "</w>",
+    "fuse_unk": False,
+    "byte_fallback": False,
+    "ignore_merges": False,
+}
+#: Added tokens that no plain run holds, and no blank is part of: punctuation first, a letter behind it.
+_APART = re.compile(r"[!-/:-@\[-`{-~][!-~]*[A-Za-z][!-~]*")
 END_ID = 1
 _TOKENIZERS: dict[int, Encoder] = {}
 
 
+def understood(parts: dict) -> bool:
+    """Whether all parts of a definition are the known ones, and its added tokens stand apart from plain runs."""
+    model = {k: v for k, v in parts["model"].items() if k not in ("vocab", "merges")}
+    flags = ("single_word", "lstrip", "rstrip", "normalized")
+    apart = all(_APART.fullmatch(t["content"]) and not any(t.get(f) for f in flags) for t in parts.get("added_tokens") or [])
+    return apart and model == _PLAIN_MODEL and _PLAIN_PARTS == {k: parts.get(k) for k in _PLAIN_PARTS}
+
+
 class Encoder:
     """Ids of whole texts, through a bounded memory of the ids of white-space-free runs.
 
-    Neither the normaliser nor the pre-tokeniser of such a tokenizer looks across ASCII
-    white space, so the ids of a text are those of its runs in order. A run of plain
-    letters with punctuation behind it, where the definition's normaliser and
-    pre-tokeniser are the known ones, goes straight to the library's model; every other
-    run is encoded whole, many at a time.
+    Nothing in the known definition looks across ASCII white space, so the ids of a text
+    are those of its runs in order. A run of plain letters with punctuation behind it
+    goes straight to the library's model; other runs are encoded whole, many at a time.
+    With any other definition the library encodes each text whole. Truncation and
+    padding that a definition asks for are turned off.
     """
 
     def __init__(self, definition: str) -> None:
@@ -54,12 +76,13 @@ class Encoder:
         from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer = Tokenizer.from_str(definition)
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
         # words and letter runs of late, and of before; what is used again moves to the front
         self.known: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
         self.bases: dict[bytes, bytes] = {}
-        parts = json.loads(definition)
-        self.plain = _PLAIN_PARTS == {k: parts.get(k) for k in _PLAIN_PARTS}
+        self.plain = understood(json.loads(definition))
         self.one = [struct.pack("<I", i) for i in range(self.tokenizer.get_vocab_size())]
         level = ByteLevel(add_prefix_space=False, use_regex=False)
         self.level = {ord(c): level.pre_tokenize_str(c)[0][0] for c in map(chr, range(0xC0, 0x100))}
@@ -73,6 +96,8 @@ class Encoder:
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
+        if not self.plain:
+            return [np.array(self.tokenizer.encode(t.decode(), add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
         split = [t.split() for t in texts]  # bytes: exactly blank, \t, \n, \v, \f, \r
         known = self.known
         if len(known) > WORDS_KEPT // 2:
@@ -88,7 +113,7 @@ class Encoder:
             if ids is not None:
                 known[w] = ids
                 continue
-            plain = match(w) if self.plain else None
+            plain = match(w)
             if plain is None:
                 rest.append(w)
                 continue

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import io
+import json
 import zlib
 
 import numpy as np
@@ -34,8 +35,27 @@ def test_encoder_with_special_strings_and_forgetting(definition, monkeypatch):
     for t in ("<|endoftext|>a b<|startoftext|>. it's DON'T rock'n'roll dogs' ''", " ".join(f"word{chr(97 + i % 26)}{'x' * (i // 26)}" for i in range(200)), "a b a b"):
         (raw,) = code.encode([t.encode()])
         assert np.frombuffer(raw, "<u4").tolist() == whole.encode(t, add_special_tokens=False).ids
-    other = tf.Encoder(definition.replace('"NFC"', '"NFKC"'))
-    assert not other.plain
+
+
+@pytest.mark.parametrize("change", [
+    lambda d: d["normalizer"]["normalizers"][0].update(type="NFKC"),
+    lambda d: d["added_tokens"].append(d["added_tokens"][0] | {"id": 49408, "content": "dog"}),
+    lambda d: d["added_tokens"].append(d["added_tokens"][0] | {"id": 49408, "content": "<a b>"}),
+    lambda d: d["added_tokens"][1].update(lstrip=True),
+    lambda d: d["model"].update(end_of_word_suffix=None),
+    lambda d: d.update(pre_tokenizer={"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}),
+    lambda d: d.update(truncation={"direction": "Right", "max_length": 3, "strategy": "LongestFirst", "stride": 0}),
+])
+def test_other_definitions_encode_whole_texts(definition, change):
+    """Definitions that differ in any part are given to the library text by text, uncut."""
+    parts = json.loads(definition)
+    change(parts)
+    other, whole = json.dumps(parts), Tokenizer.from_str(json.dumps(parts))
+    whole.no_truncation()
+    code = tf.Encoder(other)
+    assert not code.plain and tf.Encoder(definition).plain
+    for t in ("the  dog\tdogs <a b> hot<|endoftext|> x", "", "ﬁn Éa \n\n it's"):
+        assert np.frombuffer(code.encode([t.encode()])[0], "<u4").tolist() == whole.encode(t, add_special_tokens=False).ids
 
 
 @pytest.mark.parametrize("kind", ["byte", "bit"])
