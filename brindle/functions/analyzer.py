@@ -21,6 +21,7 @@ UNCHANGED = frozenset(["series", "species", "caries", "analysis", "news", "virus
 VOWELS = frozenset("aeiouáéíóúü")
 
 _RUN = re.compile(r"[^\W_]+")
+# Suffixes of the two languages, with the lengths and letters that their rules ask for, in the order they are tried.
 #: (suffix, least length of the word, letters cut, letters put instead, letters one of which must stand before)
 _PLURALS = (
     ("iones", 7, 5, "ión", None),
