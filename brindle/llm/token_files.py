@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -21,8 +22,10 @@ from .runtime import filesystem, new_folder, partitions, stored
 MAGIC, TAIL = b"BRNDTOK1", struct.Struct("<QQI8s")
 BLOCK = 1 << 16
 WORDS_KEPT = 300_000
+#: Texts encoded at once.
+STEP = 1024
 #: ASCII and Latin-1 letters, then ASCII punctuation; such letters are in normal form.
-_PLAIN_RUN = re.compile(rb"((?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([!-/:-@\[-`{-~]+)?")
+_PLAIN_RUN = r"^(?P<letters>[A-Za-zÀ-ÖØ-öø-ÿ]+)(?P<marks>[!-/:-@\[-`{-~]*)$"
 #: The definition whose texts may be taken apart at blanks, all of it but for the vocabulary.
 _PLAIN_PARTS = {
     "truncation": None,
@@ -78,61 +81,72 @@ class Encoder:
         self.tokenizer = Tokenizer.from_str(definition)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        # words and letter runs of late, and of before; what is used again moves to the front
+        # ids of lower-cased letter runs of late, and of before; what is used again moves to the front
+        self.letters: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        # ids of other runs, and of punctuation
         self.known: dict[bytes, bytes] = {}
-        self.old: dict[bytes, bytes] = {}
-        self.bases: dict[bytes, bytes] = {}
+        self.marks: dict[str | None, bytes] = {None: b"", "": b""}
         self.plain = understood(json.loads(definition))
         self.one = [struct.pack("<I", i) for i in range(self.tokenizer.get_vocab_size())]
         level = ByteLevel(add_prefix_space=False, use_regex=False)
         self.level = {ord(c): level.pre_tokenize_str(c)[0][0] for c in map(chr, range(0xC0, 0x100))}
 
-    def _whole(self, part: list[bytes]) -> None:
-        got = self.tokenizer.encode([w.decode() for w in part], is_pretokenized=True, add_special_tokens=False)
-        ids, owner = np.array(got.ids, "<u4"), np.array(got.word_ids, np.int64)
-        cuts = np.searchsorted(owner, np.arange(len(part) + 1)) * 4
-        raw = ids.tobytes()
-        self.known.update((w, raw[a:b]) for w, a, b in zip(part, cuts[:-1].tolist(), cuts[1:].tolist(), strict=True))
-
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
         if not self.plain:
             return [np.array(self.tokenizer.encode(t.decode(), add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
-        split = [t.split() for t in texts]  # bytes: exactly blank, \t, \n, \v, \f, \r
-        known = self.known
-        if len(known) > WORDS_KEPT // 2:
-            self.old, self.known, self.bases = known, {}, {}
-            known = self.known
-        new = set().union(*split)
-        new.difference_update(known)
-        rest, bases = [], self.bases
-        match, tokenize, level, one = _PLAIN_RUN.fullmatch, self.tokenizer.model.tokenize, self.level, self.one
-        before = self.old.get
-        for w in new:
-            ids = before(w)
-            if ids is not None:
+        if not texts:
+            return []
+        words = pc.ascii_split_whitespace(pa.array(texts, pa.binary()).view(pa.string()))  # blank, \t, \n, \v, \f, \r
+        coded = words.flatten().dictionary_encode()
+        parts = pc.extract_regex(coded.dictionary, pattern=_PLAIN_RUN)
+        letters = pc.utf8_lower(pc.struct_field(parts, "letters")).dictionary_encode()
+        marks = pc.struct_field(parts, "marks").dictionary_encode()
+        head = pa.array(self._letters(letters.dictionary.to_pylist()), pa.binary()).take(letters.indices)
+        tail = pa.array([self._marks(m) for m in marks.dictionary.to_pylist()], pa.binary()).take(marks.indices)
+        other = parts.is_null()
+        others = self._others(coded.dictionary.filter(other).view(pa.binary()).to_pylist())
+        ids = pc.replace_with_mask(pc.binary_join_element_wise(head, tail, b""), other, pa.array(others, pa.binary()))
+        ids = ids.take(coded.indices)
+        _, cuts, data = ids.buffers()
+        raw = memoryview(data or b"")
+        ends = np.frombuffer(cuts, np.int32)[words.offsets.to_numpy()].tolist() if cuts else [0] * (len(texts) + 1)
+        return [bytes(raw[a:b]) for a, b in zip(ends, ends[1:])]
+
+    def _letters(self, runs: list[str]) -> list[bytes]:
+        if len(self.letters) > WORDS_KEPT // 2:
+            self.old, self.letters = self.letters, {}
+        known, before, one, tokenize = self.letters, self.old.get, self.one, self.tokenizer.model.tokenize
+        for w in runs:
+            if w not in known:
+                ids = before(w)
+                if ids is None:
+                    ids = b"".join([one[t.id] for t in tokenize(w if w.isascii() else w.translate(self.level))])
                 known[w] = ids
-                continue
-            plain = match(w)
-            if plain is None:
-                rest.append(w)
-                continue
-            letters, marks = plain.groups()
-            letters = letters.lower()
-            ids = bases.get(letters)
-            if ids is None:
-                word = letters.decode() if letters.isascii() else letters.decode().lower().translate(level)
-                ids = bases[letters] = b"".join([one[t.id] for t in tokenize(word)])
-            known[w] = ids + self._marks(marks) if marks else ids
+        return [known[w] for w in runs]
+
+    def _marks(self, marks: str | None) -> bytes:
+        if marks not in self.marks:
+            if len(self.marks) > WORDS_KEPT // 2:
+                self.marks = {None: b"", "": b""}
+            self.marks[marks] = b"".join([self.one[i] for i in self.tokenizer.encode(marks, add_special_tokens=False).ids])
+        return self.marks[marks]
+
+    def _others(self, runs: list[bytes]) -> list[bytes]:
+        """Runs that are not plain, encoded whole; what stands between blanks at an end is empty."""
+        if len(self.known) > WORDS_KEPT // 2:
+            self.known = {}
+        known = self.known
+        rest = [w for w in runs if w not in known]
         for at in range(0, len(rest), 10_000):
-            self._whole(rest[at : at + 10_000])
-        return [b"".join([known[w] for w in words]) for words in split]
-
-    def _marks(self, marks: bytes) -> bytes:
-        found = self.bases.get(marks)
-        if found is None:
-            found = self.bases[marks] = b"".join([self.one[i] for i in self.tokenizer.encode(marks.decode(), add_special_tokens=False).ids])
-        return found
+            part = rest[at : at + 10_000]
+            got = self.tokenizer.encode([w.decode() for w in part], is_pretokenized=True, add_special_tokens=False)
+            ids, owner = np.array(got.ids, "<u4"), np.array(got.word_ids, np.int64)
+            cuts = np.searchsorted(owner, np.arange(len(part) + 1)) * 4
+            raw = ids.tobytes()
+            known.update((w, raw[a:b]) for w, a, b in zip(part, cuts[:-1].tolist(), cuts[1:].tolist(), strict=True))
+        return [known[w] for w in runs]
 
 
 def encoder(definition: str) -> Encoder:
@@ -265,14 +279,14 @@ def _writer(folder: str, shared, end_id: int, kind: str):
         part, tag = (task.partitionId(), f"{task.partitionId():06d}-{task.taskAttemptId()}") if task else (0, "000000-0")
         code, end, out, writer = encoder(shared.value), struct.pack("<I", end_id), None, None
         for batch in batches:
-            ids, docs = batch.column(0).to_pylist(), batch.column(1)
-            for at in range(0, len(ids), 256):
-                texts = [t or b"" for t in docs.slice(at, 256).to_pylist()]
-                if writer is None:
-                    fs.create_dir(path, recursive=True)
-                    out = fs.open_output_stream(f"{path}/part-{tag}.tok", compression=None)
-                    writer = TokenWriter(out, kind)
-                for doc, raw in zip(ids[at : at + 256], code.encode(texts), strict=True):
+            if batch.num_rows and writer is None:
+                fs.create_dir(path, recursive=True)
+                out = fs.open_output_stream(f"{path}/part-{tag}.tok", compression=None)
+                writer = TokenWriter(out, kind)
+            ids, docs = batch.column(0), batch.column(1)
+            for at in range(0, batch.num_rows, STEP):
+                texts = [t or b"" for t in docs.slice(at, STEP).to_pylist()]
+                for doc, raw in zip(ids.slice(at, STEP).to_pylist(), code.encode(texts), strict=True):
                     writer.add(doc, raw + end)
         if writer is not None:
             size = writer.close()
