@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .runtime import global_prefix, stored
+from .runtime import global_prefix, lean, stored
 from .words import PUNCTUATION, SPACES, Hasher, mix, slices, texts
 
 #: Word positions that a seed looks at; the others may differ. Together the two seeds hit
@@ -181,7 +181,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
     rows = docs.select(F.col(id_col).alias("row_id"), F.col(text_col).cast("binary").alias("text"))
     out = spark.createDataFrame([], T.StructType([T.StructField(id_col, kind), T.StructField("item_id", item), *T.StructType.fromDDL(_FOUND).fields]))
     for block in blocks(benchmark, item_col, item_text, shortest):
-        found = rows.mapInArrow(_finder(spark.sparkContext.broadcast(block), to_arrow_type(item)), f"row_id {kind.simpleString()}, item_id {item.simpleString()}, {_FOUND}")
+        found = rows.mapInArrow(lean(_finder(spark.sparkContext.broadcast(block), to_arrow_type(item))), f"row_id {kind.simpleString()}, item_id {item.simpleString()}, {_FOUND}")
         out = out.unionByName(found.withColumnRenamed("row_id", id_col))
     return out
 
@@ -193,7 +193,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     document stays; an empty table gives an empty result.
     """
     for block in blocks(benchmark, item_col, item_text, shortest):
-        docs = docs.mapInArrow(_filter(docs.sparkSession.sparkContext.broadcast(block), docs.columns.index(text_col)), docs.schema)
+        docs = docs.mapInArrow(lean(_filter(docs.sparkSession.sparkContext.broadcast(block), docs.columns.index(text_col))), docs.schema)
     return docs
 
 

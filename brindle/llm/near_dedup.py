@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .runtime import cut, stored, unused
+from .runtime import cut, lean, stored, unused
 from .words import Hasher, mix, slices, texts, windows
 
 #: Coordinates of a signature; coordinates that a pair must share to be confirmed on its
@@ -222,12 +222,12 @@ def _links(docs: DataFrame, signed: DataFrame, width: int, text_col: str) -> Dat
     wanted = stored(part.join(classes.select("cls", "text_key", "n"), "cls"), "wanted")
     shared_bits = spark.sparkContext.broadcast(_bitmap(wanted, "text_key"))
     rows = docs.select(_text_key(text_col).alias("text_key"), F.col(text_col).cast("binary").alias("text"))
-    sets = rows.mapInArrow(_sets_of(width, shared_bits), "cls binary, set binary").groupBy("cls").agg(F.first("set").alias("set"))
+    sets = rows.mapInArrow(lean(_sets_of(width, shared_bits)), "cls binary, set binary").groupBy("cls").agg(F.first("set").alias("set"))
     sets = stored(sets.join(wanted.select("cls"), "cls"), "sets")
     # within a group: every class against its head, the least of them
     a_set = sets.select(F.col("cls").alias("a"), F.col("set").alias("a_set"))
     b_set = sets.select(F.col("cls").alias("b"), F.col("set").alias("b_set"))
-    confirmed = lambda pairs: pairs.join(a_set, "a").join(b_set, "b").select("a", "b", "a_set", "b_set").mapInArrow(_confirm, "a binary, b binary, ok boolean")
+    confirmed = lambda pairs: pairs.join(a_set, "a").join(b_set, "b").select("a", "b", "a_set", "b_set").mapInArrow(lean(_confirm), "a binary, b binary, ok boolean")
     star = groups.filter("cls <> grp").select(F.col("grp").alias("a"), F.col("cls").alias("b"))
     star = stored(confirmed(star), "star")
     # then those not tied to it against all of the group, in blocks of bounded bytes
@@ -266,7 +266,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, id_col: str = "doc_id", tex
     """
     ddl = docs.select(F.col(id_col)).schema.fields[0].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("row_id"), _text_key(text_col).alias("text_key"), F.col(text_col).cast("binary").alias("text"))
-    signed = stored(rows.mapInArrow(_signer(width), f"row_id {ddl}, text_key long, cls binary, n long, keys array<long>"), "signed")
+    signed = stored(rows.mapInArrow(lean(_signer(width)), f"row_id {ddl}, text_key long, cls binary, n long, keys array<long>"), "signed")
     roots = components(_links(docs, signed, width, text_col)).select(F.col("vertex").alias("cls"), "root")
     least = signed.filter("cls is not null").groupBy("cls").agg(F.min("row_id").alias("least"))
     named = least.join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))

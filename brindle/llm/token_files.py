@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import filesystem, new_folder, partitions, stored
+from .runtime import filesystem, lean, new_folder, partitions, stored
 
 
 MAGIC, TAIL = b"BRNDTOK1", struct.Struct("<QQI8s")
@@ -310,7 +310,7 @@ def write_tokens(df: DataFrame, definition: str, folder: str | None = None, end_
     rows = df.select(F.col(id_col).cast("long").alias("doc"), text.alias("text"), F.md5(F.coalesce(text, F.lit(b""))).alias("digest"))
     ranged = rows.repartitionByRange(partitions(spark), "doc", "digest").sortWithinPartitions("doc", "digest").select("doc", "text")
     shared = spark.sparkContext.broadcast(definition)  # one tokenizer file, some MB
-    return stored(ranged.mapInArrow(_writer(folder, shared, end_id, kind), _FILES_DDL), "token-files")
+    return stored(ranged.mapInArrow(lean(_writer(folder, shared, end_id, kind)), _FILES_DDL), "token-files")
 
 
 _ROWS = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64()), ("ids", pa.binary())])
@@ -351,7 +351,7 @@ def read_tokens(files: DataFrame, with_ids: bool = True) -> DataFrame:
         total += n
     base = F.broadcast(spark.createDataFrame(starts, "part int, start long"))
     placed = files.join(base, "part").select("path", "bytes", "start", "part").repartition(partitions(spark), "part").drop("part")
-    return placed.mapInArrow(_reader(with_ids), _ROWS_DDL)
+    return placed.mapInArrow(lean(_reader(with_ids)), _ROWS_DDL)
 
 
 def tokenizer_file(path: str | None = None) -> str:

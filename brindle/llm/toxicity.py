@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import bound_batches, filesystem, new_folder
+from .runtime import bound_batches, filesystem, lean, new_folder
 from .words import PUNCTUATION, SPACES, Hasher, mix, slices, texts
 
 #: Bounds: labelled rows of the fit; hash buckets (a bit count), which bound the weights.
@@ -140,10 +140,10 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     turn = F.xxhash64(F.col("row_id"))
     sample = marked.orderBy(turn, "row_id", "label").limit(FIT_ROWS)
     fit = docs.select(F.col(id_col).alias("row_id"), F.col(text_col).cast("binary").alias("text")).join(F.broadcast(sample), "row_id")  # at most FIT_ROWS rows
-    keys = fit.select(turn.alias("turn"), "label", "text").mapInArrow(_features, "turn long, label int, keys binary")
+    keys = fit.select(turn.alias("turn"), "label", "text").mapInArrow(lean(_features), "turn long, label int, keys binary")
     folder = new_folder(spark, "fit")
     keys.repartition(1).sortWithinPartitions("turn", F.length("keys"), "keys", "label").write.option("parquet.block.size", 4 << 20).parquet(folder)
-    return dict(spark.range(0, 1, 1, 1).mapInArrow(_trainer(folder), "bucket long, weight double").collect())
+    return dict(spark.range(0, 1, 1, 1).mapInArrow(lean(_trainer(folder)), "bucket long, weight double").collect())
 
 
 def _scorer(shared):
@@ -180,7 +180,7 @@ def score_toxicity(docs: DataFrame, weights: dict[int, float], id_col: str = "do
     """
     shared = _broadcast(docs.sparkSession, weights)
     ddl = docs.select(F.col(id_col)).schema.fields[0].dataType.simpleString()
-    scored = docs.select(F.col(id_col).alias("row_id"), F.col(text_col).cast("binary").alias("text")).mapInArrow(_scorer(shared), f"row_id {ddl}, score double")
+    scored = docs.select(F.col(id_col).alias("row_id"), F.col(text_col).cast("binary").alias("text")).mapInArrow(lean(_scorer(shared)), f"row_id {ddl}, score double")
     fold = F.crc32(F.coalesce(F.col("row_id").cast("string"), F.lit("")).cast("binary")) % folds
     return scored.select(F.col("row_id").alias(id_col), (fold == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
@@ -209,7 +209,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
     judged by their text like any other; an empty table gives an empty result.
     """
     shared = _broadcast(docs.sparkSession, fit_toxicity(docs, labels, id_col, text_col, label_col))
-    return docs.mapInArrow(_dropper(shared, docs.columns.index(text_col)), docs.schema)
+    return docs.mapInArrow(lean(_dropper(shared, docs.columns.index(text_col))), docs.schema)
 
 
 def op9_toxicity(spark, sf_dir: str) -> DataFrame:
