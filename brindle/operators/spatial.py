@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from brindle.functions.spatial import LIBRARY_RADIUS, Polygon, cells, check_point, check_radius, distance, in_box, in_polygon, radius_box
+from brindle.functions.spatial import LIBRARY_RADIUS, Polygon, cells, check_point, check_radius, distance, in_box, in_polygon, metric_name, radius_box
+from brindle.operators.blocks import BLOCK, nearest_in_blocks
 
 
 def point_search(df: DataFrame, px: float, py: float, x: str = "x", y: str = "y") -> DataFrame:
@@ -36,32 +39,29 @@ def knn(df: DataFrame, px: float, py: float, k: int, key: str, metric: str = "eu
     return ranked.orderBy("distance", x, y, key).limit(k)
 
 
-def knn_batch(df: DataFrame, queries: DataFrame, k: int, key: str, metric: str = "euclidean", earth: float = LIBRARY_RADIUS, block: int = 1000) -> DataFrame:
-    """The k nearest rows of ``df`` for each query (query_id, qx, qy).
+def _distances(metric: str, earth: float):
+    def measure(batch: pa.RecordBatch, asked: np.ndarray) -> np.ndarray:
+        x, y = (batch.column(i).to_numpy(zero_copy_only=False)[None] for i in (0, 1))
+        qx, qy = asked[:, :1], asked[:, 1:2]
+        if metric == "euclidean":
+            return np.hypot(x - qx, y - qy)
+        lat, qlat = np.radians(y), np.radians(qy)
+        h = np.sin((qlat - lat) / 2) ** 2 + np.cos(lat) * np.cos(qlat) * np.sin(np.radians(qx - x) / 2) ** 2
+        return 2 * earth * np.arcsin(np.sqrt(np.clip(h, 0, 1)))
+
+    return measure
+
+
+def knn_batch(df: DataFrame, queries: DataFrame, k: int, key: str, metric: str = "euclidean", earth: float = LIBRARY_RADIUS, block: int = BLOCK) -> DataFrame:
+    """The k nearest rows of ``df`` for each query (query_id, qx, qy), by (distance, x, y, key).
 
     Queries are a stated set: they are sent to the tasks in blocks of bounded size, every
-    task keeps its k best for each query, and only those are shuffled.
+    task keeps its k best for each query, and only those are shuffled. Rows without both
+    coordinates are near to nothing, and queries without them find nothing.
     """
-    spark = df.sparkSession
-    order = ["distance", "x", "y", key]
-    out = None
-    listed = queries.select("query_id", "qx", "qy").toLocalIterator()
-    part: list = []
-
-    def answer(rows: list) -> DataFrame:
-        q = F.broadcast(spark.createDataFrame(rows, queries.select("query_id", "qx", "qy").schema))
-        d = distance(F.col("x"), F.col("y"), F.col("qx"), F.col("qy"), metric, earth)
-        pairs = q.crossJoin(df.select(key, "x", "y")).withColumn("distance", d).filter("distance is not null")
-        rank = F.row_number().over(Window.partitionBy("query_id").orderBy(*order))  # a group limit runs before the shuffle
-        return pairs.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", key, "distance", "rank")
-
-    for row in listed:
-        part.append(tuple(row))
-        if len(part) == block:
-            out, part = (answer(part) if out is None else out.unionByName(answer(part))), []
-    if part or out is None:
-        out = answer(part) if out is None else out.unionByName(answer(part))
-    return out
+    rows = df.select(F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), F.col(key).alias("key")).dropna(subset=["x", "y"])
+    found = nearest_in_blocks(rows, 3, queries.select("query_id", "qx", "qy").dropna(subset=["qx", "qy"]), k, _distances(metric_name(metric), earth), block)
+    return found.select("query_id", F.col("key").alias(key), "distance", "rank")
 
 
 def within_join(left: DataFrame, right: DataFrame, radius: float, left_key: str, right_key: str) -> DataFrame:

@@ -7,10 +7,12 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from brindle.functions.vectors import METRICS, as_array, score
+from brindle.operators.blocks import BLOCK, nearest_in_blocks
 
 NLIST, NPROBE, SAMPLE, ITERATIONS = 32, 4, 10_000, 20
 #: Least mean recall, and the keys it is measured on: those divisible by EVERY, at most QUERIES of them by hash.
@@ -18,8 +20,8 @@ RECALL, EVERY, QUERIES = 0.9, 20, 500
 
 
 def top_k(df: DataFrame, query: Sequence[float], k: int, key: str, vector: str, metric: str = "euclidean") -> DataFrame:
-    """Exact best k by score, then key; each task keeps its own best k."""
-    return df.select(key, score(F.col(vector), as_array(query), metric).alias("score")).orderBy(F.desc("score"), key).limit(k)
+    """Exact best k by score, then key; each task keeps its own best k. Rows without a whole vector are not found."""
+    return _whole(df, vector).select(key, score(F.col(vector), as_array(query), metric).alias("score")).orderBy(F.desc("score"), key).limit(k)
 
 
 def _numpy_scores(rows: np.ndarray, queries: np.ndarray, metric: str) -> np.ndarray:
@@ -37,58 +39,32 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 1))
 
 
-def _batch_best(ids: list, queries: np.ndarray, k: int, metric: str):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, best = np.zeros((len(ids), 0), np.int64), np.zeros((len(ids), 0))
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            s = _numpy_scores(_matrix(batch.column(1)), queries, metric).T
-            new = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            keys = np.concatenate([keys, np.broadcast_to(new, s.shape)], axis=1)
-            best = np.concatenate([best, s], axis=1)
-            order = np.lexsort((keys, -best))[:, :k]
-            keys, best = np.take_along_axis(keys, order, 1), np.take_along_axis(best, order, 1)
-        n = keys.shape[1]
-        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(ids, np.int64), n)), pa.array(keys.ravel()), pa.array(best.ravel())], names=["query_id", "key", "score"])
-
-    return run
+def _whole(df: DataFrame, vector: str) -> DataFrame:
+    """The rows that have a vector without nulls in it; others are found by no search."""
+    return df.filter(F.col(vector).isNotNull() & ~F.exists(F.col(vector), lambda x: x.isNull()))
 
 
-def top_k_batch(df: DataFrame, queries: DataFrame, k: int, key: str, vector: str, query_key: str, query_vector: str, metric: str = "euclidean", block: int = 1000) -> DataFrame:
+def top_k_batch(df: DataFrame, queries: DataFrame, k: int, key: str, vector: str, query_key: str, query_vector: str, metric: str = "euclidean", block: int = BLOCK) -> DataFrame:
     """Exact best k for each query of a stated set: blocks of queries meet all rows in matrix products.
 
     A task keeps k rows for each query, so what is shuffled is k times tasks times queries.
-    Keys are whole numbers.
+    Keys keep their type; rows without a whole vector are not found, such queries find nothing.
     """
     if metric not in METRICS:
         raise ValueError(f"metric {metric!r} is none of {METRICS}")
-    rows = df.select(F.col(key).cast("long"), vector)
-    out, part = None, []
-
-    def answer(part: list) -> DataFrame:
-        found = rows.mapInArrow(_batch_best([p[0] for p in part], np.array([p[1] for p in part], np.float64), k, metric), "query_id long, key long, score double")
-        rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "key"))
-        return found.withColumn("rank", rank).filter(F.col("rank") <= k)
-
-    for q in queries.select(F.col(query_key).cast("long"), query_vector).toLocalIterator():
-        part.append((q[0], list(q[1])))
-        if len(part) == block:
-            out, part = (answer(part) if out is None else out.unionByName(answer(part))), []
-    if part:
-        out = answer(part) if out is None else out.unionByName(answer(part))
-    if out is None:
-        out = df.sparkSession.createDataFrame([], "query_id long, key long, score double, rank int")
-    return out.withColumnRenamed("key", key)
+    rows = _whole(df, vector).select(F.col(key).alias("key"), F.col(vector).alias("vector"))
+    asked = _whole(queries, query_vector).select(F.col(query_key).alias("query_id"), query_vector)
+    found = nearest_in_blocks(rows, 1, asked, k, lambda batch, q: -_numpy_scores(_matrix(batch.column(1)), q, metric).T, block)
+    return found.select("query_id", F.col("key").alias(key), (-F.col("distance")).alias("score"), "rank")
 
 
 def kmeans(sample: np.ndarray, k: int, iterations: int = ITERATIONS, seed: int = 0) -> np.ndarray:
     """Lloyd's iterations from k-means++ seeds on a bounded sample; empty clusters are seeded anew."""
     rng = np.random.default_rng(seed)
     k = min(k, len(sample))
-    centres = sample[rng.integers(len(sample))][None]
+    centres, d = sample[rng.integers(len(sample))][None], np.full(len(sample), np.inf)
     while len(centres) < k:
-        d = ((sample[:, None] - centres[None]) ** 2).sum(2).min(1)
+        d = np.minimum(d, ((sample - centres[-1]) ** 2).sum(1))
         pick = rng.choice(len(sample), p=d / d.sum()) if d.sum() > 0 else rng.integers(len(sample))
         centres = np.concatenate([centres, sample[pick][None]])
     last = None
@@ -104,12 +80,22 @@ def kmeans(sample: np.ndarray, k: int, iterations: int = ITERATIONS, seed: int =
     return centres.astype(np.float32).astype(np.float64)
 
 
+def _nearest(rows: np.ndarray, centroids: np.ndarray) -> np.ndarray:
+    """The nearest centroid of each row, the first on ties; distances stand in memory for one centroid at a time."""
+    least, near = np.full(len(rows), np.inf), np.zeros(len(rows), np.int32)
+    for i, c in enumerate(centroids):
+        d = ((rows - c) ** 2).sum(1)
+        closer = d < least
+        least[closer], near[closer] = d[closer], i
+    return near
+
+
 def _assign(centroids: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = _matrix(batch.column(1))
-            d = ((rows[:, None, :] - centroids[None]) ** 2).sum(2) if batch.num_rows else np.zeros((0, len(centroids)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(d.argmin(1).astype(np.int32))], names=["key", "vector", "list_id"])
+            near = _nearest(rows, centroids) if batch.num_rows else np.zeros(0, np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(near)], names=["key", "vector", "list_id"])
 
     return run
 
@@ -129,6 +115,7 @@ class IVFIndex:
     @classmethod
     def build(cls, df: DataFrame, key: str, vector: str, nlist: int = NLIST, sample: int = SAMPLE, iterations: int = ITERATIONS, seed: int = 0, centroids: Sequence[Sequence[float]] | None = None) -> IVFIndex:
         """Centroids come from at most ``sample`` rows, the first by hash of the key, unless they are given."""
+        df = _whole(df, vector)
         if centroids is None:
             rows = df.select(vector).orderBy(F.xxhash64(F.col(key), F.lit(seed))).limit(sample).toArrow().column(0).combine_chunks()
             centroids = kmeans(_matrix(rows), nlist, iterations, seed).tolist()
@@ -147,13 +134,15 @@ class IVFIndex:
         return [int(i) for i in np.lexsort((np.arange(len(s)), -s))[: min(nprobe, len(s))]]
 
     def recalls(self, k: int, metric: str = "euclidean") -> np.ndarray:
-        """Mean recall of the best k for 1, 2 ... lists probed, over keys divisible by ``EVERY`` against all rows."""
+        """Mean recall of the best k for 1, 2 ... lists probed, over keys (or their hashes) divisible by ``EVERY`` against all rows."""
         if (k, metric) not in self.measured:
-            some = self.lists.filter(F.col("key") % EVERY == 0).orderBy(F.xxhash64("key"), "key").limit(QUERIES)
+            number = F.col("key") if isinstance(self.lists.schema["key"].dataType, T.IntegralType) else F.xxhash64("key")
+            some = self.lists.filter(number % EVERY == 0).orderBy(F.xxhash64("key"), "key").limit(QUERIES)
             queries = {r["key"]: list(r["vector"]) for r in some.select("key", "vector").collect()}
             if not queries:
                 return np.ones(len(self.centroids))
-            asked = self.lists.sparkSession.createDataFrame(list(queries.items()), "qid long, v array<double>")
+            kind = self.lists.schema["key"].dataType.simpleString()
+            asked = self.lists.sparkSession.createDataFrame(list(queries.items()), f"qid {kind}, v array<double>")
             best = top_k_batch(self.lists, asked, k, "key", "vector", "qid", "v", metric)
             found = best.join(self.lists.select("key", "list_id"), "key").groupBy("query_id").agg(F.collect_list("list_id").alias("ids")).collect()
             shares = []

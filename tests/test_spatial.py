@@ -68,3 +68,14 @@ def test_validation():
     with pytest.raises(ValueError):
         sf.metric_name("manhattan")
     assert sf.metric_name(" Haversine ") == "haversine"
+
+
+def test_batch_of_neighbours_equals_single_searches(spark):
+    points = spatial.random_points(spark, 300, seed=5).union(spark.createDataFrame([(900, None, 1.0), (901, -77.0, -12.0), (902, -77.0, -12.0)], "id long, x double, y double"))
+    asked = spark.createDataFrame([("a", -77.0, -12.0), ("b", -76.95, -11.92), ("c", None, 1.0)], "query_id string, qx double, qy double")
+    for metric in ("euclidean", "haversine"):
+        got = spatial.knn_batch(points, asked, 5, "id", metric, block=1)
+        for q, x, y in [("a", -77.0, -12.0), ("b", -76.95, -11.92)]:
+            one = [(r.id, round(r.distance, 6)) for r in spatial.knn(points, x, y, 5, "id", metric).collect()]
+            assert [(r.id, round(r.distance, 6)) for r in got.filter(F.col("query_id") == q).orderBy("rank").collect()] == one
+        assert got.filter("query_id = 'c'").count() == 0

@@ -92,3 +92,17 @@ def test_ivf_probes_enough_lists(spark):
         hits.append(np.mean([owner[int(i)] in probed for i in exact]))
     assert np.mean(hits) >= 0.9 and nprobe > 8
     assert index.top_k(rows[20].tolist(), 10).count() == 10
+
+
+def test_keys_of_any_type_and_missing_vectors(spark):
+    rows = [("a", [1.0, 0.0]), ("b", None), ("c", [0.0, 1.0]), ("d", [1.0, None]), ("e", [1.0, 0.0])]
+    df = spark.createDataFrame(rows, "id string, v array<double>")
+    asked = spark.createDataFrame([("q", [1.0, 0.0]), ("none", None)], "qid string, qv array<double>")
+    got = top_k_batch(df, asked, 2, "id", "v", "qid", "qv")
+    assert [(r.query_id, r.id, r.score, r["rank"]) for r in got.orderBy("rank").collect()] == [("q", "a", 1.0, 1), ("q", "e", 1.0, 2)]
+    assert [r.id for r in top_k(df, [1.0, 0.0], 9, "id", "v").collect()] == ["a", "e", "c"]
+    index = IVFIndex.build(df, "id", "v", nlist=2)
+    assert [r.id for r in index.top_k([1.0, 0.0], 9, nprobe=2).collect()] == ["a", "e", "c"]
+    assert len(index.recalls(1)) == 2
+    assert top_k_batch(df, asked.filter("qid = 'none'"), 2, "id", "v", "qid", "qv").count() == 0
+    assert top_k_batch(df.filter("id = 'x'"), asked, 2, "id", "v", "qid", "qv").count() == 0
