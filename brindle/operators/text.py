@@ -67,6 +67,19 @@ class TextIndex:
     def open(cls, spark: SparkSession, folder: str, key: str, tokens: Callable[[Column], Column] | None = None) -> TextIndex:
         return cls(*(spark.read.parquet(f"{folder}/{t}") for t in ("postings", "lengths", "terms")), key, tokens or native_analyzer())
 
+    def remove(self, keys: DataFrame, key: str) -> TextIndex:
+        """Without the documents of these keys; unknown ones change nothing."""
+        gone = keys.select(F.col(key).alias(self.key)).distinct()
+        lost = self.postings.join(gone, self.key, "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("lost"))
+        terms = self.terms.join(lost, "term", "left").select("term", (F.col("df") - F.coalesce("lost", F.lit(0))).alias("df")).filter("df > 0")
+        return TextIndex(self.postings.join(gone, self.key, "left_anti"), self.lengths.join(gone, self.key, "left_anti"), terms, self.key, self.tokens)
+
+    def insert(self, df: DataFrame, text: str) -> TextIndex:
+        """With these documents, which take the place of those with the same key; ``df`` has each key once."""
+        old, new = self.remove(df, self.key), TextIndex.build(df, self.key, text, self.tokens)
+        terms = old.terms.unionByName(new.terms).groupBy("term").agg(F.sum("df").alias("df"))
+        return TextIndex(old.postings.unionByName(new.postings), old.lengths.unionByName(new.lengths), terms, self.key, self.tokens)
+
     def totals(self) -> DataFrame:
         return self.lengths.agg(F.count(F.lit(1)).cast("double").alias("n"), F.avg("length").alias("avg_length"))
 

@@ -126,8 +126,14 @@ class IVFIndex:
     def save(self, folder: str) -> IVFIndex:
         """Lists become partition folders: a search reads only those it probes."""
         spark = self.lists.sparkSession
-        self.lists.repartition("list_id", F.pmod(F.hash("key"), F.lit(8))).write.partitionBy("list_id").parquet(folder)
-        return IVFIndex(spark.read.parquet(folder), self.centroids, self.key)
+        self.lists.repartition("list_id", F.pmod(F.hash("key"), F.lit(8))).write.partitionBy("list_id").parquet(f"{folder}/lists")
+        spark.createDataFrame(list(enumerate(self.centroids)), "list_id int, centroid array<double>").coalesce(1).write.parquet(f"{folder}/centroids")
+        return self.open(spark, folder, self.key)
+
+    @classmethod
+    def open(cls, spark: SparkSession, folder: str, key: str) -> IVFIndex:
+        centroids = [list(r[1]) for r in sorted(spark.read.parquet(f"{folder}/centroids").collect())]
+        return cls(spark.read.parquet(f"{folder}/lists"), centroids, key)
 
     def probes(self, query: Sequence[float], metric: str, nprobe: int) -> list[int]:
         s = np.round(_numpy_scores(np.array(self.centroids), np.array([query], np.float64), metric)[:, 0], 9)

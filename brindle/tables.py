@@ -1,14 +1,16 @@
 """Tables: Parquet folders in versions, with the DML and metadata of a small database.
 
-A change never touches the files that a reader may hold: it writes a new version beside
-the old one and then moves the pointer (one small file).
+A change never touches the files that a reader may hold: it writes new files beside the
+old ones and then a new catalog (one small file, complete once its folder has _SUCCESS),
+which a store opened on the same folder reads. A folder has one writer at a time.
 """
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Sequence
-from dataclasses import dataclass, field
+from dataclasses import asdict, dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,6 +26,8 @@ TYPES = {
 }
 ENGINES = ("HEAP", "SEQUENTIAL")
 RESERVED = "Sys"
+#: Folders of files that inserts may add to a table before all its rows are written anew.
+MOST_PARTS = 16
 
 
 class TableError(ValueError):
@@ -62,20 +66,78 @@ class Table:
     engine: str
     data: DataFrame
     indexes: dict[str, dict] = field(default_factory=dict)
+    parts: list[str] = field(default_factory=list)
+    version: str = ""  # another one after every change of rows
+    saved: dict[str, list[str]] = field(default_factory=dict)  # index: the version it was built of, its folder
+    attached: bool = False
+
+    def schema(self) -> T.StructType:
+        return T.StructType([c.field() for c in self.columns])
 
 
 class Store:
-    """Named tables under a folder; ``attach`` adds any DataFrame as a read-only table."""
+    """Named tables under a folder, or in memory without one.
+
+    ``attach`` adds any DataFrame as a table; it is no part of the catalog until rows of it change.
+    """
 
     def __init__(self, spark: SparkSession, folder: str | None = None) -> None:
         self.spark, self.folder = spark, folder
         self.tables: dict[str, Table] = {}
         self.plugins: dict[str, dict] = {}
+        self.turn = 0
+        if folder:
+            self._open()
+
+    def _listed(self, pattern: str) -> list[str]:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{pattern}")
+        found = path.getFileSystem(self.spark._jsc.hadoopConfiguration()).globStatus(path)
+        return sorted(f.getPath().toString() for f in found or ())
+
+    def _delete(self, folder: str) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+    def _open(self) -> None:
+        done = self._listed("catalog/*/_SUCCESS")
+        if not done:
+            return
+        last = done[-1].rsplit("/", 1)[0]
+        self.turn = int(last.rsplit("/", 1)[1])
+        state = json.loads(self.spark.read.text(last).first()[0])
+        self.plugins = state["plugins"]
+        for t in state["tables"]:
+            columns = tuple(ColumnSpec(**c) for c in t.pop("columns"))
+            made = Table(columns=columns, data=None, **t)
+            made.data = self._read(made)
+            self.tables[made.name] = made
+
+    def commit(self) -> None:
+        """Write the catalog; the one before it stays until the next."""
+        if not self.folder:
+            return
+        keep = ("name", "engine", "indexes", "parts", "version", "saved")
+        tables = [{k: getattr(t, k) for k in keep} | {"columns": [asdict(c) for c in t.columns]} for t in self.tables.values() if not t.attached]
+        state = json.dumps({"plugins": self.plugins, "tables": tables})
+        self.turn += 1
+        self.spark.createDataFrame([(state,)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.folder}/catalog/{self.turn:012d}")
+        for old in self._listed("catalog/*")[:-2]:
+            self._delete(old)
+
+    def vacuum(self) -> int:
+        """Delete the files of former versions, dropped tables and indexes; only while no reader holds them."""
+        if not self.folder:
+            return 0
+        held = {p.rsplit("/", 1)[1] for t in self.tables.values() for p in [*t.parts, *(f for _, f in t.saved.values())]}
+        gone = [f for f in self._listed("tables/*/*") + self._listed("indexes/*/*") if f.rsplit("/", 1)[1] not in held]
+        for f in gone:
+            self._delete(f)
+        return len(gone)
 
     def attach(self, name: str, data: DataFrame) -> None:
         kinds = {"int": "INT", "bigint": "INT", "smallint": "INT", "tinyint": "INT", "double": "FLOAT", "float": "FLOAT", "boolean": "BOOL"}
         columns = tuple(ColumnSpec(f.name, kinds.get(f.dataType.simpleString(), "POINT" if f.dataType == TYPES["POINT"] else "TEXT")) for f in data.schema)
-        self.tables[name] = Table(name, columns, "HEAP", data)
+        self.tables[name] = Table(name, columns, "HEAP", data, attached=True)
 
     def table(self, name: str) -> Table:
         if name not in self.tables:
@@ -93,23 +155,46 @@ class Store:
             raise TableError("column names must be there and differ")
         if engine not in ENGINES:
             raise TableError(f"engine {engine} is none of {ENGINES}")
-        schema = T.StructType([c.field() for c in columns])
-        self.tables[name] = Table(name, tuple(columns), engine, self.spark.createDataFrame([], schema))
+        made = Table(name, tuple(columns), engine, None, version=uuid.uuid4().hex)
+        made.data = self._read(made)
+        self.tables[name] = made
+        self.commit()
 
     def drop(self, name: str) -> None:
         self.table(name)
         del self.tables[name]
+        self.commit()
 
-    def _swap(self, t: Table, data: DataFrame) -> None:
-        schema = T.StructType([c.field() for c in t.columns])
-        data = data.select(*(F.col(f.name).cast(f.dataType).alias(f.name, metadata=f.metadata) for f in schema)) if schema.fields else data
-        if t.engine == "SEQUENTIAL":  # kept in order of the first column, for min/max pruning
+    def _read(self, t: Table) -> DataFrame:
+        return self.spark.read.schema(t.schema()).parquet(*t.parts) if t.parts else self.spark.createDataFrame([], t.schema())
+
+    def _typed(self, t: Table, data: DataFrame) -> DataFrame:
+        data = data.select(*(F.col(f.name).cast(f.dataType).alias(f.name, metadata=f.metadata) for f in t.schema()))
+        if t.engine == "SEQUENTIAL":  # each part in order of the first column, for min/max pruning
             data = data.repartitionByRange(t.columns[0].name).sortWithinPartitions(t.columns[0].name)
+        return data
+
+    def _written(self, t: Table, data: DataFrame) -> str:
+        path = f"{self.folder}/tables/{t.name}/{uuid.uuid4().hex}"
+        self._typed(t, data).write.parquet(path)
+        return path
+
+    def _swap(self, t: Table, data: DataFrame) -> None:
         if self.folder:
-            path = f"{self.folder}/{t.name}/{uuid.uuid4().hex}"
-            data.write.parquet(path)
-            data = self.spark.read.schema(schema).parquet(path)
-        t.data = data
+            t.parts, t.attached = [self._written(t, data)], False
+            t.data = self._read(t)
+        else:
+            t.data = self._typed(t, data)
+        t.version = uuid.uuid4().hex
+        self.commit()
+
+    def _add(self, t: Table, rows: DataFrame) -> None:
+        """Files beside those that are there; a table of many parts is written anew."""
+        if not self.folder or t.attached or len(t.parts) >= MOST_PARTS:
+            return self._swap(t, t.data.unionByName(rows))
+        t.parts = [*t.parts, self._written(t, rows)]
+        t.data, t.version = self._read(t), uuid.uuid4().hex
+        return self.commit()
 
     def insert(self, name: str, rows: Sequence[Sequence], columns: Sequence[str] | None = None) -> int:
         """Append rows; ``columns`` may come in any order but all of them must."""
@@ -122,8 +207,7 @@ class Store:
         for row in rows:
             values = dict(zip(order, row, strict=True))
             made.append(tuple(self._checked(c, values[c.name]) for c in t.columns))
-        schema = T.StructType([c.field() for c in t.columns])
-        self._swap(t, t.data.unionByName(self.spark.createDataFrame(made, schema)))
+        self._add(t, self.spark.createDataFrame(made, t.schema()))
         return len(made)
 
     @staticmethod
@@ -134,8 +218,7 @@ class Store:
         return v
 
     def append(self, name: str, data: DataFrame) -> None:
-        t = self.table(name)
-        self._swap(t, t.data.unionByName(data))
+        self._add(self.table(name), data)
 
     def delete(self, name: str, where: Column | None = None) -> int:
         t = self.table(name)
@@ -158,12 +241,15 @@ class Store:
         if any(name in x.indexes for x in self.tables.values()):
             raise TableError(f"index {name} exists")
         t.indexes[name] = {"column": column, "kind": kind} | options
+        self.commit()
 
     def drop_index(self, name: str) -> None:
         owner = next((t for t in self.tables.values() if name in t.indexes), None)
         if owner is None:
             raise TableError(f"no index {name}")
         del owner.indexes[name]
+        owner.saved.pop(name, None)
+        self.commit()
 
     def system(self, name: str) -> DataFrame:
         """SysTables, SysColumns, SysIndexes, SysPlugins, SysTypes, SysPluginIndexes."""
