@@ -45,6 +45,7 @@ class TextIndex:
     terms: DataFrame
     key: str
     tokens: Callable[[Column], Column]
+    saved_norms: DataFrame | None = None  # of a saved index, until it changes
 
     @classmethod
     def build(cls, df: DataFrame, key: str, text: str, tokens: Callable[[Column], Column] | None = None) -> TextIndex:
@@ -61,11 +62,14 @@ class TextIndex:
         self.lengths.write.parquet(f"{folder}/lengths")
         saved = spark.read.parquet(f"{folder}/postings")
         saved.groupBy("term").agg(F.count(F.lit(1)).alias("df")).repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{folder}/terms")
+        written = TextIndex(*(spark.read.parquet(f"{folder}/{t}") for t in ("postings", "lengths", "terms")), self.key, self.tokens)
+        written.norms().write.parquet(f"{folder}/norms")
         return self.open(spark, folder, self.key, self.tokens)
 
     @classmethod
     def open(cls, spark: SparkSession, folder: str, key: str, tokens: Callable[[Column], Column] | None = None) -> TextIndex:
-        return cls(*(spark.read.parquet(f"{folder}/{t}") for t in ("postings", "lengths", "terms")), key, tokens or native_analyzer())
+        postings, lengths, terms, norms = (spark.read.parquet(f"{folder}/{t}") for t in ("postings", "lengths", "terms", "norms"))
+        return cls(postings, lengths, terms, key, tokens or native_analyzer(), norms)
 
     def remove(self, keys: DataFrame, key: str) -> TextIndex:
         """Without the documents of these keys; unknown ones change nothing."""
@@ -104,7 +108,9 @@ class TextIndex:
         return hits.groupBy(self.key).agg(F.sum(weight).alias("score"))
 
     def norms(self) -> DataFrame:
-        """(id, norm) over all terms of each document."""
+        """(id, norm) over all terms of each document; a saved index has them written."""
+        if self.saved_norms is not None:
+            return self.saved_norms
         weighted = self.postings.join(self.terms, "term").crossJoin(F.broadcast(self.totals()))
         w = F.col("tf") * F.log(F.col("n") / F.col("df"))
         return weighted.groupBy(self.key).agg(F.sqrt(F.sum(w * w)).alias("norm"))

@@ -76,13 +76,17 @@ def test_variants_and_samples(spark):
     assert len(large) == 20 and small < large
 
 
-def test_upkeep_equals_a_new_index(spark):
+def test_upkeep_equals_a_new_index(spark, tmp_path):
     before = spark.createDataFrame([(1, "one two two"), (2, "two three"), (3, "four")], "id long, t string")
     change = spark.createDataFrame([(2, "two five"), (4, "one")], "id long, t string")
     after = spark.createDataFrame([(1, "one two two"), (2, "two five"), (4, "one")], "id long, t string")
     index = TextIndex.build(before, "id", "t").insert(change, "t").insert(change, "t").remove(before.filter("id = 3"), "id")
     new = TextIndex.build(after, "id", "t")
+    saved = new.save(str(tmp_path / "index"))
+    assert saved.saved_norms is not None and saved.remove(change, "id").saved_norms is None
     for a, b in ((index.postings, new.postings), (index.lengths, new.lengths), (index.terms, new.terms)):
         assert sorted(map(tuple, a.select(b.columns).collect())) == sorted(map(tuple, b.collect()))
     for method in ("bm25", "tf_idf"):
+        assert saved.match_top_k("one two", 5, method).collect() == new.match_top_k("one two", 5, method).collect()
+        assert saved.insert(change, "t").match_top_k("one two", 5, method).collect() == new.match_top_k("one two", 5, method).collect()
         assert index.match_top_k("one two", 5, method).collect() == new.match_top_k("one two", 5, method).collect()
