@@ -41,9 +41,3 @@ def score(a: Column, b: Column, metric: str = "euclidean") -> Column:
     if metric == "euclidean":
         return 1.0 / (1.0 + euclidean_distance(a, b))
     return cosine_similarity(a, b) if metric == "cosine" else dot(a, b)
-
-
-def nearest(vector: Column, centroids: Sequence[Sequence[float]]) -> Column:
-    """Index of the nearest centroid (Euclidean, the first on ties)."""
-    pairs = F.array(*(F.struct(euclidean_distance(vector, as_array(c)).alias("d"), F.lit(i).alias("i")) for i, c in enumerate(centroids)))
-    return F.array_min(pairs)["i"]

@@ -7,12 +7,13 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brindle.functions.vectors import nearest
+from brindle.operators.vector import assigned
 
 
 def histograms(descriptors: DataFrame, key: str, vector: str, codebook: Sequence[Sequence[float]]) -> DataFrame:
-    """(key, word, count): how many of an item's descriptors are nearest to each word."""
-    return descriptors.select(key, nearest(F.col(vector), codebook).alias("word")).groupBy(key, "word").agg(F.count(F.lit(1)).alias("count"))
+    """(key, word, count): how many of an item's descriptors are nearest to each word; descriptors with nulls have none."""
+    words = assigned(descriptors, key, vector, codebook).select(F.col("key").alias(key), F.col("list_id").alias("word"))
+    return words.groupBy(key, "word").agg(F.count(F.lit(1)).alias("count"))
 
 
 def smoothed_idf(counts: DataFrame, key: str) -> DataFrame:

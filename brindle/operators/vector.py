@@ -100,6 +100,13 @@ def _assign(centroids: np.ndarray):
     return run
 
 
+def assigned(df: DataFrame, key: str, vector: str, centroids: Sequence[Sequence[float]]) -> DataFrame:
+    """(key, vector, list_id): the nearest centroid of each row that has a whole vector, the first on ties."""
+    kind, array = df.schema[key].dataType.simpleString(), df.schema[vector].dataType.simpleString()
+    rows = _whole(df, vector).select(F.col(key).alias("key"), F.col(vector).alias("vector"))
+    return rows.mapInArrow(_assign(np.array(centroids, np.float64)), f"key {kind}, vector {array}, list_id int")
+
+
 @dataclass
 class IVFIndex:
     """Vectors dealt to their nearest centroid; a search reads the ``nprobe`` lists best for the query.
@@ -115,12 +122,10 @@ class IVFIndex:
     @classmethod
     def build(cls, df: DataFrame, key: str, vector: str, nlist: int = NLIST, sample: int = SAMPLE, iterations: int = ITERATIONS, seed: int = 0, centroids: Sequence[Sequence[float]] | None = None) -> IVFIndex:
         """Centroids come from at most ``sample`` rows, the first by hash of the key, unless they are given."""
-        df = _whole(df, vector)
         if centroids is None:
-            rows = df.select(vector).orderBy(F.xxhash64(F.col(key), F.lit(seed))).limit(sample).toArrow().column(0).combine_chunks()
+            rows = _whole(df, vector).select(vector).orderBy(F.xxhash64(F.col(key), F.lit(seed))).limit(sample).toArrow().column(0).combine_chunks()
             centroids = kmeans(_matrix(rows), nlist, iterations, seed).tolist()
-        kind, array = df.schema[key].dataType.simpleString(), df.schema[vector].dataType.simpleString()
-        lists = df.select(F.col(key).alias("key"), F.col(vector).alias("vector")).mapInArrow(_assign(np.array(centroids, np.float64)), f"key {kind}, vector {array}, list_id int")
+        lists = assigned(df, key, vector, centroids)
         return cls(lists, [list(map(float, c)) for c in centroids], key)
 
     def save(self, folder: str) -> IVFIndex:
