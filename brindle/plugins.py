@@ -172,10 +172,10 @@ class PluginRegistry:
         self._tokens = tokens
 
     @classmethod
-    def standard(cls) -> PluginRegistry:
-        made = cls()
-        tokens = lambda: made.tokens
-        for plugin in (TextPlugin("INVERTED", tokens), TextPlugin("BM25", tokens, "bm25"), TextPlugin("TF_IDF", tokens, "tf_idf"), ListsPlugin(), GraphPlugin()):
+    def standard(cls, tokens: Callable[[Column], Column] | None = None) -> PluginRegistry:
+        made = cls(tokens)
+        words = lambda: made.tokens
+        for plugin in (TextPlugin("INVERTED", words), TextPlugin("BM25", words, "bm25"), TextPlugin("TF_IDF", words, "tf_idf"), ListsPlugin(), GraphPlugin()):
             made.register(plugin)
         return made
 

@@ -11,13 +11,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brindle.functions import spatial as sf
-from brindle.functions.analyzer import analyzer
+from brindle.functions.analyzer import analyzer, native_analyzer
 from brindle.functions.vectors import score
 from brindle.operators import bow, spatial
 from brindle.operators.relational import aggregate_column, group_aggregate, hash_join, ordered, two_valued
 from brindle.operators.text import TextIndex, precision_recall, scan_bm25
 from brindle.operators.vector import IVFIndex, graph_top_k, top_k, top_k_batch
 from brindle.plans.dialect import Database
+from brindle.plugins import PluginRegistry
 from brindle.streaming.index_maintenance import windowed_events
 from brindle.tables import deleted, inserted, load, updated
 
@@ -462,6 +463,56 @@ def sql_ranked_text(spark, d):
     return db.execute("SELECT doc_id, SCORE() AS s FROM documents WHERE MATCH(text, 'onre tion er') AND doc_id > 3 USING BM25 ORDER BY s DESC, doc_id LIMIT 10").withColumn("s", F.round("s", 6))
 
 
+def _text_database(spark, d) -> Database:
+    """Documents with an index over plain words, which SQL can count alike."""
+    db = Database(spark, plugins=PluginRegistry.standard(native_analyzer()))
+    db.store.attach("documents", load(spark, d, "documents"))
+    db.execute("CREATE INDEX by_text ON documents (text) USING INVERTED")
+    return db
+
+
+@query(f"with {_CORPUS}, {_BM25.format(terms=_terms(SEARCH))} select doc_id, round(score, 6) as s from bm join documents using (doc_id) where lang = 'en' order by bm.score desc, doc_id limit 10")
+def sql_search_bm25(spark, d):
+    out = _text_database(spark, d).execute(f"SELECT doc_id, SCORE() AS s FROM documents WHERE MATCH(text, '{SEARCH}') AND lang = 'en' USING BM25 ORDER BY s DESC, doc_id LIMIT 10")
+    return out.withColumn("s", F.round("s", 6))
+
+
+@query(f"with {_CORPUS}, {_COSINE.format(terms=_terms(SEARCH))} select doc_id, round(score, 6) as s from tfidf order by tfidf.score desc, doc_id limit 10")
+def sql_search_tfidf(spark, d):
+    out = _text_database(spark, d).execute(f"SELECT doc_id, SCORE() AS s FROM documents WHERE SEARCH(text, '{SEARCH}') USING TF_IDF ORDER BY s DESC, doc_id LIMIT 10")
+    return out.withColumn("s", F.round("s", 6))
+
+
+@query(f"with {_CORPUS.replace('from documents', 'from (select * from documents where lang <> ' + chr(39) + 'en' + chr(39) + ')')}, {_BM25.format(terms=_terms(SEARCH))} select doc_id, round(score, 6) as s from bm order by bm.score desc, doc_id limit 10")
+def sql_delete_then_search(spark, d):
+    db = _text_database(spark, d)
+    db.execute("DELETE FROM documents WHERE lang = 'en' OR lang IS NULL")
+    out = db.execute(f"SELECT doc_id, SCORE() AS s FROM documents WHERE MATCH(text, '{SEARCH}') USING BM25 ORDER BY s DESC, doc_id LIMIT 10")
+    return out.withColumn("s", F.round("s", 6))
+
+
+class _Stored:
+    """Vectors that are there already: a row's own, and one picked as reference."""
+
+    def __init__(self, reference: list[float]) -> None:
+        self.reference = reference
+
+    def column(self, c):
+        return c
+
+    def one(self, reference):
+        return self.reference
+
+
+@query(f"select vec_id, round(1 / (1 + list_distance(embedding::double[], q)), 6) as s from embeddings, {_Q0} order by round(list_distance(embedding::double[], q), 9), vec_id limit 10")
+def sql_similar_to(spark, d):
+    db = database(spark, d, "embeddings")
+    db.vectorizers["stored"] = _Stored(_first_vector(spark, d))
+    db.execute("CREATE INDEX by_vector ON embeddings (embedding) USING HNSW WITH (metric = euclidean, profile = 'stored')")
+    out = db.execute("SELECT vec_id, SIMILARITY_SCORE() AS s FROM embeddings WHERE SIMILAR_TO('first', k = 10) USING HNSW WITH METRIC = euclidean")
+    return out.withColumn("s", F.round("s", 6))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """BM25 top 10 over the documents."""
     return text_bm25_topk(spark, sf_dir)
