@@ -245,8 +245,7 @@ def spatial_knn_batch(spark, d):
 
 @query(f"with p as ({_POINTS}) select a.c_custkey as left_key, b.c_custkey as right_key, round(sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)), 6) as dist from p a join p b on a.c_custkey < b.c_custkey and a.x between b.x - 9 and b.x + 9 and a.y between b.y - 9 and b.y + 9 where sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) <= 9")
 def spatial_within_join(spark, d):
-    p = points(spark, d)
-    return spatial.within_join(p, p, 9.0, "c_custkey", "c_custkey").filter("left_key < right_key").select("left_key", "right_key", F.round("distance", 6).alias("dist"))
+    return spatial.within_pairs(points(spark, d), 9.0, "c_custkey", digits=6).withColumnRenamed("distance", "dist")
 
 
 # text

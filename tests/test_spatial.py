@@ -59,6 +59,37 @@ def test_within_join_equals_all_pairs(cloud):
     assert {(r.left_key, r.right_key) for r in got} == want and len(got) == len(want)
 
 
+def crowded_rows():
+    rng = random.Random(9)
+    places = [(rng.uniform(-30, 30), rng.uniform(-30, 30)) for _ in range(40)] + [(0.0, 0.0), (-1e-16, 0.0), (9.0, 0.0), (-0.0, 0.0), (1e300, 0.0), (1e300, 5.0), (-1e300, 0.0)]
+    rows = [(i, *rng.choice(places)) for i in range(500)] + [(1000 + i, 3.0, 4.0) for i in range(60)]
+    rows += [(2000 + i, *p) for i, p in enumerate([*places, (None, 0.0), (0.0, None), (math.nan, 0.0), (math.inf, 0.0), (math.inf, 0.0), (-math.inf, 1.0)])]
+    return rows + [(7, 3.0, 4.0), (7, 3.0, 4.0), (None, 3.0, 4.0)]
+
+
+@pytest.mark.parametrize("pack,crowd", [(1024, 16_384), (4, 20)])
+def test_within_join_of_copies_equals_all_pairs(spark, monkeypatch, pack, crowd):
+    monkeypatch.setattr(spatial, "PACK", pack)
+    monkeypatch.setattr(spatial, "CROWD", crowd)
+    rows = crowded_rows()
+    p = spark.createDataFrame(rows, "id long, x double, y double")
+    some = [r for r in rows if None not in r[1:]]
+    want = sorted(((a, b) for a, ax, ay in some for b, bx, by in some if math.hypot(ax - bx, ay - by) <= 9.0), key=repr)
+    got = spatial.within_join(p, p, 9.0, "id", "id", digits=3).collect()
+    assert sorted(((r.left_key, r.right_key) for r in got), key=repr) == want
+    at = {r[0]: r[1:] for r in rows}
+    assert all(r.distance == pytest.approx(math.hypot(at[r.left_key][0] - at[r.right_key][0], at[r.left_key][1] - at[r.right_key][1]), abs=6e-4) for r in got if 7 not in tuple(r))
+    pairs = spatial.within_pairs(p, 9.0, "id", digits=3).collect()
+    ascending = lambda found: sorted(tuple(r) for r in found if r.left_key is not None and r.right_key is not None and r.left_key < r.right_key)
+    assert ascending(pairs) == ascending(got) and len(pairs) == len(ascending(got))
+
+
+def test_places_of_copies_are_compared_once(spark):
+    p = spark.range(3000).select("id", (F.col("id") % 3).cast("double").alias("x"), F.lit(0.0).alias("y"))
+    assert spatial._near_places(p, p, 1.0, "id", "id", F.lit(True), None).count() == 7
+    assert spatial.within_pairs(p, 1.0, "id").count() == 3 * 1000 * 999 // 2 + 2 * 1000 * 1000
+
+
 def test_validation():
     for bad in [(200.0, 0.0), (0.0, 91.0), (math.nan, 0.0)]:
         with pytest.raises(ValueError):
