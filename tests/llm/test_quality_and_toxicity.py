@@ -75,6 +75,31 @@ def test_forest_parts_junk_from_good_on_rows_it_has_not_seen(spark):
     assert kept == again
 
 
+def test_fit_takes_every_labelled_row(spark):
+    made = [r for seed in range(18) for r in junk_corpus(seed)]
+    rows, good = [(k, r[1]) for k, r in enumerate(made)], [r[5] for r in made]
+    turn = {r[0]: r[1] for r in spark.range(len(rows)).selectExpr("id", "xxhash64(id)").collect()}
+    df, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(k, g, 0) for k, g in enumerate(good)], LABELS)
+    data = [t.encode() for _, t in rows]
+    s = quality.statistics(np.frombuffer(b"".join(data), np.uint8), np.cumsum([0, *map(len, data)]))
+    features = np.column_stack([s[f] for f in quality.FEATURES])
+    order = [k for k in sorted(turn, key=turn.get) if s["n_words"][k] >= quality.MIN_WORDS]
+    assert len(order) > 16_000
+    model = quality.fit_forests(features[order], np.array([good[k] > 0 for k in order]))
+    want = np.max([forest.scores(features[:, view]) - bound for view, forest, bound in model], axis=0)
+    got = {r.doc_id: r.anomaly for r in quality.quality_rules(df, labels).collect()}
+    assert len(got) == len(rows) and max(abs(got[k] - want[k]) for k in got) < 1e-12
+
+
+def test_thresholds_equal_those_of_sorted_scores(spark):
+    rng = np.random.default_rng(4)
+    for well, ill in [(4000, 300), (4000, 0), (1, 5), (2500, 2500)]:
+        n = len(quality.SCORES)
+        scores = np.concatenate([rng.normal(0.4, 0.1, (well, n)), rng.normal(0.55, 0.1, (ill, n))]).round(2 if ill % 500 else 6)
+        marks = spark.createDataFrame([(int(i < well), *map(float, r)) for i, r in enumerate(scores)], ["good", *quality.SCORES]).repartition(3)
+        assert quality._thresholds(marks) == [quality._threshold(scores[:well, k], scores[well:, k]) for k in range(n)]
+
+
 def test_isolation_forest_scores():
     rng = np.random.default_rng(2)
     rows = np.concatenate([rng.normal(size=(500, 2)), [[9.0, 9.0]]])
