@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 #: Metres; the SQL function and the library metric use different mean radii.
 SQL_RADIUS, LIBRARY_RADIUS = 6371008.8, 6371000.0
 METRICS = ("euclidean", "haversine")
+FARTHEST = float(1 << 53)
 
 
 def metric_name(metric: str) -> str:
@@ -136,8 +137,9 @@ def in_polygon(x: Column, y: Column, polygon: Polygon, boundary: bool = True) ->
 
 
 def cells(x: Column, y: Column, side: float) -> tuple[Column, Column]:
-    """Grid cell of a point, for partition columns and joins."""
-    return F.floor(x / side).cast("long"), F.floor(y / side).cast("long")
+    """Grid cell of a point, for partition columns and joins. Beyond ``FARTHEST`` cells doubles are a cell or more apart, and all are one cell."""
+    cell = lambda c: F.floor(F.least(F.greatest(c / side, F.lit(-FARTHEST)), F.lit(FARTHEST)))
+    return cell(x), cell(y)
 
 
 def polygon_from_latlon(corners: Sequence[tuple[float, float]]) -> Polygon:
